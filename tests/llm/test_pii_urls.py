@@ -1,0 +1,107 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from polyglint.llm import pii, urlfilter
+
+from .cases import documents, prose, texts
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(t: str) -> list:
+    out = []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, t):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1]))
+            good = {"email": True, "ip": all(int(x) < 256 for x in m[0].split(".")) if kind == "ip" else False, "card": 14 <= len(d) <= 19 and doubled % 10 == 0, "phone": 10 <= len(d) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, m.end(), kind))
+    return [(a, b, kind) for a, _, b, kind in sorted(out)]
+
+
+PERSONAL = [
+    "mail a.b+c@x-y.example.com, or é@ü.de and q@w.e", "at 10.0.0.255 and 10.0.0.256 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 or 41111111111111111111",
+    "call +49 (30) 123-45.678 or +1 or +12345678901234567890 now", "x+a@b.c+d@e.f", "4111 1111 1111 1111@mail.example.com +4111 1111 1111 111", "日本 4111111111111111 語 +81 90 1234 5678",
+]
+
+
+def test_direct_kinds_match_the_patterns(spark):
+    rows = list(enumerate(texts() + PERSONAL))
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in rows], extra=True)
+    got = {r.doc_id: [(x.start, x.end, x.kind) for x in r.spans] for r in pii.find_personal_data(docs).collect()}
+    for i, t in rows:
+        assert got[i] == brute(t or ""), t
+
+
+def corpus(spark):
+    rows = [prose(i, 12) + f" Zorblatt writes from ann@mail.example.com about topic{i} " + prose(i + 50, 12) for i in range(5)]
+    rows += ["only zorblatt here", "zorblatt@other.example.com", prose(3, 30), None, rows[0], rows[0]]
+    rows += [f"plain words and once{i} bob{i}@mail.example.com here" for i in range(6)] + [prose(200 + i, 30) for i in range(60)]
+    return documents(spark, list((i, t, "en", "s", 0) for i, t in enumerate(rows))), rows
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_terms_that_reveal_an_entity_are_found(spark, sent):
+    docs, rows = corpus(spark)
+    s = pii.Settings(support=3, bits=2.0, share=0.5, broadcast_rows=sent)
+    found = {(r.term, r.entity): r for r in pii.disclosing(docs, s).collect()}
+    assert ("zorblatt", "email:ann@mail.example.com") in found
+    r = found["zorblatt", "email:ann@mail.example.com"]
+    # Copies of a text are one context and yet several documents.
+    assert r.n_both == 5 and r.n_entity == 5 and r.n_term == sum("zorblatt" in (t or "").lower() for t in rows)
+    assert not any(t.startswith(("once", "topic")) for t, _ in found)
+    spans = {x.doc_id: [(y.start, y.end, y.kind) for y in x.spans] for x in pii.find_personal_data(docs, s).collect()}
+    assert (5, 13, "term") in spans[5] and [k for _, _, k in spans[6]] == ["email"]
+    base = {x: [y for y in v if y[2] != "term"] for x, v in spans.items()}
+    assert all(base[i] == brute(t or "") for i, t in enumerate(rows))
+
+
+def test_sanitised_text(spark):
+    docs, _ = corpus(spark)
+    found = pii.find_personal_data(docs, pii.Settings(bits=2.0))
+    general = {r.doc_id: r.text for r in pii.sanitised(found).collect()}
+    removed = {r.doc_id: r.text for r in pii.sanitised(found, remove=True).collect()}
+    assert general[5] == "only <TERM> here" and removed[5] == "only  here" and general[6] == "<EMAIL>"
+    assert general[8] == "" and "ann@mail" not in general[0]
+
+
+def test_personal_data_of_odd_tables(spark):
+    assert pii.find_personal_data(documents(spark, [])).count() == 0
+    twice = documents(spark, [(1, "a@b.c", "", "", 0)] * 2 + [(None, None, None, None, None)])
+    assert sorted(len(r.spans) for r in pii.find_personal_data(twice).collect()) == [0, 1, 1]
+
+
+def judged(spark, captures, entries, **more):
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched long").withColumn("domain", F.lit("clash")).withColumn("action", F.lit("clash"))
+    e = spark.createDataFrame(entries, "domain string, action string, at long")
+    return {r.page_id: (r.host, r.matched_domain, r.action, r.valid_from, r.kept) for r in urlfilter.judged(c, e, **more).collect()}
+
+
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_captures_are_judged_as_of_their_fetch(spark, sent):
+    entries = [("bad.org", "block", 10), ("bad.org", "allow", 20), ("bad.org", "block", 30), ("good.bad.org", "allow", 12), ("bad.org", "block", 10), (None, "block", 1), ("x.y", "block", None), ("z.com", "allow", 5), ("z.com", "block", 5)]
+    captures = [
+        (1, "http://bad.org/", 9), (2, "https://BAD.org:80/x?y#z", 10), (3, "http://www.bad.org", 19), (4, "http://www.bad.org", 20), (5, "http://u:p@a.b.bad.org./", 31),
+        (6, "http://good.bad.org/", 11), (7, "http://good.bad.org/", 12), (8, "http://a.good.bad.org/", 40), (9, "http://notbad.org/", 15), (10, "no url", 15), (11, None, 15), (12, "http://bad.org/", None), (13, "http://z.com", 6), (14, "http://localhost/", 6), (15, "", 3),
+    ]
+    got = judged(spark, captures, entries, broadcast_rows=sent)
+    assert got[1] == ("bad.org", None, None, None, True)
+    assert got[2] == ("bad.org", "bad.org", "block", 10, False) and got[3] == ("www.bad.org", "bad.org", "block", 10, False)
+    assert got[4][2:] == ("allow", 20, True) and got[5] == ("a.b.bad.org", "bad.org", "block", 30, False)
+    assert got[6][1:] == ("bad.org", "block", 10, False) and got[7][1:] == ("good.bad.org", "allow", 12, True) and got[8][1] == "good.bad.org"
+    assert got[9][1] is None and got[10][0] is None and got[11][4] and got[12] == ("bad.org", None, None, None, True)
+    assert got[13][2] == "block" and got[14] == ("localhost", None, None, None, True) and got[15][4]
+
+
+def test_url_filters_of_odd_tables(spark):
+    assert judged(spark, [], [("a.b", "block", 1)]) == {}
+    assert judged(spark, [(1, "http://a.b/", 3)], []) == {1: ("a.b", None, None, None, True)}
+    c = spark.createDataFrame([(1, "http://a.b/", 3)] * 2, "page_id long, url string, fetched long")
+    e = spark.createDataFrame([("a.b", "block", 1)], "domain string, action string, at long")
+    assert [r.kept for r in urlfilter.judged(c, e).collect()] == [False, False]
