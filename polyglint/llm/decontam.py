@@ -91,8 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     (remove="documents"), or without the hit words and what lies between them (remove="spans").
     Documents without a hit come back as they are, null texts too."""
     found = windows(benchmark, size)
-    scanned = _scanned(docs, found, set_rows).where("size(met) > 0")
-    hit = saved(_confirmed(saved(scanned), found, set_rows))
+    # Saved before it is filtered: a filter pushed below would split the text anew for every window.
+    hit = saved(_confirmed(saved(_scanned(docs, found, set_rows)), found, set_rows))
     marked = docs.withColumn("__row", _row())
     if remove == "documents":
         return marked.join(hit.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")

@@ -45,10 +45,13 @@ def test_held_out_labels_do_not_matter(spark):
 
 def test_weights_are_sparse_and_bounded():
     r = np.random.default_rng(1)
-    s = toxicity.Settings(bits=12)
     examples = [np.unique(np.append(r.integers(0, 4095, 30), [4095] if i % 2 else [])).astype(np.int32) for i in range(400)]
-    slots, weights, bias = toxicity.ftrl(examples, np.array([i % 2 for i in range(400)], float), s)
-    assert len(slots) < 1000 and slots[np.argmax(weights)] == 4095
+    sizes = []
+    for l1 in (0.0, 0.5, 2.0):
+        slots, weights, bias = toxicity.ftrl(examples, np.array([i % 2 for i in range(400)], float), toxicity.Settings(bits=12, l1=l1))
+        assert len(slots) <= 1 << 12 and slots[np.argmax(weights)] == 4095 and bias < 0
+        sizes.append(len(slots))
+    assert sizes[0] > 3500 and sizes[1] < 0.6 * sizes[0] and sizes[2] < 0.1 * sizes[0]
 
 
 def test_toxicity_of_odd_tables(spark):
