@@ -16,8 +16,8 @@ SEED_LOW = -(2**63)
 
 
 def limit_of(scale: int) -> int:
-    """Hashes below this signed bound are the fraction 1/scale of all."""
-    return SEED_LOW + (2**64) // scale
+    """Hashes up to this signed bound are the fraction 1/scale of all."""
+    return SEED_LOW + (2**64) // scale - 1
 
 
 def with_sketch(docs: DataFrame, text: str, out: str, width: int = 5, scale: int = 8) -> DataFrame:
@@ -30,7 +30,7 @@ def with_sketch(docs: DataFrame, text: str, out: str, width: int = 5, scale: int
     kept = docs.columns
     words = F.filter(F.split(ascii_lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - F.lit(width - 1), F.lit(1)))
-    low = F.filter("__h", lambda h: h < F.lit(limit_of(scale)))
+    low = F.filter("__h", lambda h: h <= F.lit(limit_of(scale)))
     made = docs.withColumn("__w", words).withColumn("__h", F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, F.lit(width))))).withColumn("__low", low)
     chosen = F.when(F.size("__low") > 0, F.array_sort(F.array_distinct("__low"))).otherwise(F.array(F.array_min("__h")))
     return made.select(*kept, chosen.alias(out))
@@ -39,7 +39,7 @@ def with_sketch(docs: DataFrame, text: str, out: str, width: int = 5, scale: int
 def merged(a: Column, b: Column, scale: int = 8) -> Column:
     """The sketch of two texts' shingles together."""
     both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < F.lit(limit_of(scale)))
+    low = F.filter(both, lambda h: h <= F.lit(limit_of(scale)))
     return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
