@@ -34,7 +34,8 @@ def test_edited_texts_and_likeness(spark):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b))
         assert got[i].near_next == pytest.approx(len(a & c) / len(a | c))
-    assert got[6].fingerprint == got[7].fingerprint == got[10].fingerprint and got[6].near_next == 1.0
+    assert got[6].fingerprint == got[7].fingerprint == got[8].fingerprint and got[6].near_next == 1.0
+    assert got[10].fingerprint != got[6].fingerprint  # upper() changes letters beyond A-Z
 
 
 def test_sketches_keep_a_fixed_fraction_and_merge(spark):
