@@ -66,8 +66,8 @@ def latest_value(rows: DataFrame, key: str, value: str, order: Sequence[str], ou
 
 def exploded_names(rows: DataFrame, ids: Column, key: str, text: Column, order: str) -> DataFrame:
     """(id, name) for every numeric id of a row; of several rows with an id the last one counts."""
-    each = rows.select(F.explode(ids).try_cast("bigint").alias("id"), text.alias("name"), F.col(order).alias("__o"), F.col(key).alias("__k"))
-    return each.where("id is not null and name <> ''").groupBy("id").agg(F.max_by("name", F.struct("__o", "__k")).alias("name"))
+    each = rows.select(F.explode(ids).alias("id"), text.alias("name"), F.col(order).alias("__o"), F.col(key).alias("__k"))
+    return each.withColumn("id", F.col("id").try_cast("bigint")).where("id is not null and name <> ''").groupBy("id").agg(F.max_by("name", F.struct("__o", "__k")).alias("name"))
 
 
 def paired(jp: DataFrame, cn: DataFrame, key: str, text: str, order: str) -> DataFrame:
@@ -118,7 +118,8 @@ def not_in_list(rows: DataFrame, column: str, json_array: str) -> DataFrame:
 
 def strictly_rising(a: Column) -> Column:
     """Whether each element of an array is larger than the one before it."""
-    return F.forall(F.arrays_zip(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))).alias("x"), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))).alias("y")), lambda p: p["0"] < p["1"])
+    n = F.greatest(F.size(a) - 1, F.lit(0))
+    return F.forall(F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), lambda x, y: x < y), lambda ok: ok)
 
 
 def zipped_lines(rows: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:

@@ -43,10 +43,6 @@ def id_sort_key(ids: Column) -> list[Column]:
     return [F.desc_nulls_last(number)]
 
 
-def numeric_text_key(text: Column) -> Column:
-    return F.coalesce(text.try_cast("int"), F.lit(0))
-
-
 def merged_pages(pages: Sequence[DataFrame], key: str) -> DataFrame:
     """Pages one after another without repeated keys; the first page with a key wins."""
     from .overlay import first_owner
