@@ -11,6 +11,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType
 
 #: Characters of titles that are written alike (fixed values).
 FOLDED = str.maketrans({**dict.fromkeys("‘’‛′", "'"), **dict.fromkeys("“”‟″", '"'), **dict.fromkeys("‐‑‒–—―−", "-"), **dict.fromkeys("〜～∼", "~"), "…": "...", **dict.fromkeys("・･·•", "·")})
@@ -84,7 +85,7 @@ def title_matches(title: str, wanted: str) -> bool:
     return any(c and alias_text(c) == alias_text(w) for c in candidates)
 
 
-def _udf(f, kind: str):
+def _udf(f, kind: DataType):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else f(x))
@@ -92,15 +93,15 @@ def _udf(f, kind: str):
     return run
 
 
-identity_text_udf = _udf(identity_text, "string")
-work_text_udf = _udf(work_text, "string")
-alias_text_udf = _udf(alias_text, "string")
-canonical_title_udf = _udf(canonical_title, "string")
-trailing_parenthesis_udf = _udf(trailing_parenthesis, "array<string>")
-top_level_parts_udf = _udf(top_level_parts, "array<string>")
+identity_text_udf = _udf(identity_text, StringType())
+work_text_udf = _udf(work_text, StringType())
+alias_text_udf = _udf(alias_text, StringType())
+canonical_title_udf = _udf(canonical_title, StringType())
+trailing_parenthesis_udf = _udf(trailing_parenthesis, ArrayType(StringType()))
+top_level_parts_udf = _udf(top_level_parts, ArrayType(StringType()))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def title_matches_udf(title: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([a is not None and b is not None and title_matches(a, b) for a, b in zip(title, wanted)])
 
@@ -110,7 +111,7 @@ def split_contributors(s: str) -> list[str]:
     return sorted({alias_text(p) for p in top_level_parts(s)} - {""})
 
 
-split_contributors_udf = _udf(split_contributors, "array<string>")
+split_contributors_udf = _udf(split_contributors, ArrayType(StringType()))
 
 
 def unique_json(s: str) -> bool:
@@ -130,7 +131,7 @@ def unique_json(s: str) -> bool:
         return False
 
 
-unique_json_udf = _udf(unique_json, "boolean")
+unique_json_udf = _udf(unique_json, BooleanType())
 
 
 def canonical_json(s: str) -> str | None:
@@ -146,4 +147,4 @@ def canonical_json(s: str) -> str | None:
     return text
 
 
-canonical_json_udf = _udf(canonical_json, "string")
+canonical_json_udf = _udf(canonical_json, StringType())

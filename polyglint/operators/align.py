@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def subsequence(part: Sequence, whole: Sequence) -> tuple[str, list[int]]:
@@ -30,7 +31,7 @@ def subsequence(part: Sequence, whole: Sequence) -> tuple[str, list[int]]:
     return ("unique", early) if early == late[::-1] else ("ambiguous", [])
 
 
-@F.pandas_udf("status string, positions array<int>")
+@F.pandas_udf(StructType([StructField("status", StringType()), StructField("positions", ArrayType(IntegerType()))]))
 def subsequence_udf(part: pd.Series, whole: pd.Series) -> pd.DataFrame:
     """Columns of arrays; null counts as an empty array."""
     return pd.DataFrame([subsequence([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(part, whole)], columns=["status", "positions"])

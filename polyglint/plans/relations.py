@@ -67,7 +67,7 @@ class Tables:
     @property
     def localized(self) -> DataFrame:
         """Localised segments of the lines."""
-        text = F.when(F.col("position") % 6 == 0, "").otherwise(F.upper("text"))
+        text = F.when(F.col("position") % 6 == 0, "").otherwise(F.concat(F.lit("~"), "text"))
         source = F.when(F.col("position") % 2 == 0, "cn").otherwise("human")
         return self.lines.where("position % 4 <> 3").select("segment_id", F.lit(LOCALE).alias("locale"), text.alias("text"), source.alias("source"), (F.col("position") + 1000).alias("updated_at"))
 
@@ -92,7 +92,7 @@ pair_base AS (SELECT 'cards' AS category, jp_key || ':' || category || ':' || fi
 pairs AS (SELECT category, 'prefix' AS field, jp_key, cn_text, source FROM pair_base
   UNION ALL SELECT category, 'gacha', jp_key, CASE WHEN p % 2 = 0 THEN cn_text ELSE lower(jp_key) END, 'llm' FROM pair_base WHERE p % 3 = 0),
 lines AS (SELECT conv_id AS event_id, role AS episode, turn AS position, conv_id || ':' || turn AS segment_id, text FROM conversations),
-localized AS (SELECT segment_id, CASE WHEN position % 6 = 0 THEN '' ELSE upper(text) END AS text, CASE WHEN position % 2 = 0 THEN 'cn' ELSE 'human' END AS source, position + 1000 AS updated_at FROM lines WHERE position % 4 <> 3),
+localized AS (SELECT segment_id, CASE WHEN position % 6 = 0 THEN '' ELSE '~' || text END AS text, CASE WHEN position % 2 = 0 THEN 'cn' ELSE 'human' END AS source, position + 1000 AS updated_at FROM lines WHERE position % 4 <> 3),
 jobs AS (SELECT *, CASE WHEN state = 'leased' THEN 'w' || job_id % 3 END AS lease_owner, CASE WHEN state = 'leased' THEN job_id * 13 % 1000 END AS lease_expires_at FROM (
   SELECT o_orderkey AS job_id, CASE o_orderkey % 5 WHEN 0 THEN 'leased' WHEN 1 THEN 'retry_wait' WHEN 2 THEN 'completed' ELSE 'pending' END AS state, (o_orderkey % 4)::INTEGER AS attempts, 3 AS max_attempts, o_orderkey * 37 % 1000 AS next_attempt_at, (o_orderkey % 3 + 1)::INTEGER AS version FROM orders))
 """
