@@ -92,7 +92,7 @@ def test_scenarios_are_flattened(spark):
 
 
 def test_streams_of_files(spark, tmp_path):
-    source = spark.createDataFrame([(1, 0), (1, 100), (1, 5000), (2, 50), (2, 50)], "user long, s long").select("user", F.timestamp_seconds("s").alias("ts"))
+    source = spark.createDataFrame([(1, 0), (1, 100), (1, 5000), (2, 50), (2, 50)], "user long, s long").select("user", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
     path = str(tmp_path / "in")
     source.write.parquet(path)
     stream = spark.readStream.schema(source.schema).parquet(path)
