@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, strings
+from .common import by_size, rows, strings
 
 #: The byte-level pre-token pattern (a fixed value of the tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -155,8 +155,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str], added: p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 8000):
-                part = batch.slice(i, 8000)
+            for part in by_size(batch, n):
                 out = []
                 for packed in coder.encode(strings(part.column(n))):
                     ids = np.frombuffer(packed, dtype="<u4")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, fresh_path, rows, saved
+from .common import by_size, encoded, fresh_path, rows, saved
 
 #: Rows of the list of repeated contents that is broadcast at most; beyond it, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
@@ -121,8 +121,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 8000):
-                part = batch.slice(i, 8000)
+            for part in by_size(batch, 1):
                 yield rows(schema, digest=part.column(0), n_tokens=np.array(counter.count(list(encoded(part.column(1)))), dtype=np.int64))
 
     fresh = left.select("digest", "text").mapInArrow(run, "digest string, n_tokens long").dropDuplicates(["digest"])
