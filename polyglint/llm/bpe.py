@@ -145,8 +145,8 @@ ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("
 DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str], added: pa.Schema, make) -> DataFrame:
-    """keep's columns and those of added, by make(ids as bytes, decoded text) for each row."""
+def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str], added: pa.Schema, make, held: int) -> DataFrame:
+    """keep's columns and those of added, by make(ids as bytes, decoded text) for each row; held: bytes of text taken at a time."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     picked = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text_col}`").alias("__text"))
@@ -155,7 +155,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str], added: p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
-            for part in by_size(batch, n):
+            for part in by_size(batch, n, held):
                 out = []
                 for packed in coder.encode(strings(part.column(n))):
                     ids = np.frombuffer(packed, dtype="<u4")
@@ -176,10 +176,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     become those tokens. Every row is treated by itself, so repeated rows and ids give repeated
     results; an empty table gives an empty one.
     """
-    return _mapped(docs, path, text_col, list(keep), ENCODED, lambda ids, packed, text: (len(ids), ids.astype(np.int32), text))
+    return _mapped(docs, path, text_col, list(keep), ENCODED, lambda ids, packed, text: (len(ids), ids.astype(np.int32), text), 1 << 20)
 
 
 def digests(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """As encode(), with SHA-256 of the ids (little-endian, 32 bits) and of the decoded text in place of both."""
     sha = hashlib.sha256
-    return _mapped(docs, path, text_col, list(keep), DIGESTS, lambda ids, packed, text: (len(ids), sha(packed).hexdigest(), sha(text.encode()).hexdigest()))
+    return _mapped(docs, path, text_col, list(keep), DIGESTS, lambda ids, packed, text: (len(ids), sha(packed).hexdigest(), sha(text.encode()).hexdigest()), 4 << 20)
