@@ -9,6 +9,9 @@ next shorter context, so every context has a distribution. A text is scored with
 
 The counts lie spread over tasks by the last two bytes of the context: those tasks make all nodes of
 depth two and more. Depths 0 and 1 (65,280 nodes at most) are made on the driver.
+
+The contexts met most often, up to a bound, are broadcast for scoring. The others stay in a table:
+bytes after those contexts are looked up there by a join, so that the score is the whole model's.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ END = xxhash.xxh64_intdigest(b"\n") - (1 << 64 if xxhash.xxh64_intdigest(b"\n")
 
 @dataclass(frozen=True)
 class Settings:
-    """depth: most bytes of context. grams: most (context, byte) pairs in the model, a bound on what
-    is broadcast; beyond it the rarest contexts of full depth give way to their shorter ones (counts
-    and estimates still cover all texts). common: words of at least this share of all tokens have
-    their counts broadcast (so at most 1/common words); others are joined."""
+    """depth: most bytes of context (2 at least). grams: most (context, byte) pairs that are broadcast,
+    those of the most frequent contexts; the others are joined, so it changes no score. common: words
+    of at least this share of all tokens have their counts broadcast (so at most 1/common words);
+    others are joined."""
 
     depth: int = 5
     grams: int = 4_000_000
@@ -127,6 +130,28 @@ def levels(keys: np.ndarray, counts: np.ndarray, depth: int, upto: int) -> dict[
     return made
 
 
+def totals(level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a level's contexts: where each begins, its number of pairs, its count."""
+    context = level.keys >> np.uint64(8)
+    start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    return start, np.diff(np.r_[start, len(context)]), np.add.reduceat(level.counts, start)
+
+
+def step(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eight steps to each doubling, so a histogram over them stays small."""
+    return np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+def least_step(steps: np.ndarray, pairs: np.ndarray, most: int) -> int:
+    """The lowest step such that contexts from it on have `most` pairs together or fewer. A context's
+    count is at most that of each of its suffixes, so the suffixes of a context kept are kept."""
+    order = np.argsort(-steps)
+    fits = np.cumsum(pairs[order]) <= most
+    if fits.all():
+        return 0
+    return int(steps[order][fits.sum() - 1]) if fits.any() else int(steps.max()) + 1
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(float)) for b in batches]
     if not parts:
@@ -139,7 +164,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
 @dataclass
 class Model:
     """Sorted tagged keys (depth << 56 | context << 8 | byte) with log10 probabilities, tagged
-    contexts (depth << 56 | context) with factors, and a full table for contexts of one byte."""
+    contexts (depth << 56 | context) with factors, and a full table for contexts of one byte.
+    whole: whether these are all contexts."""
 
     depth: int
     grams: np.ndarray
@@ -147,10 +173,13 @@ class Model:
     contexts: np.ndarray
     factor: np.ndarray
     one: np.ndarray
+    whole: bool = True
 
 
-def train(grams: DataFrame, s: Settings) -> Model:
-    """grams (gram, n): all byte n-grams (context << 8 | byte) of the training texts -> the model."""
+def train(grams: DataFrame, s: Settings) -> tuple[Model, DataFrame | None]:
+    """grams (gram, n): all byte n-grams (context << 8 | byte) of the training texts -> the model of
+    the frequent contexts, and (kind, key, value) of the others (None where there are none): kind 0
+    has log10 probabilities by tagged key, kind 1 factors by tagged context."""
     spark, depth = grams.sparkSession, s.depth
     dealt = saved(grams.select("gram", "n").repartition(partitions(spark), (F.col("gram").bitwiseAND(0xFFFFFF) / 256).cast("long")))
 
@@ -158,7 +187,14 @@ def train(grams: DataFrame, s: Settings) -> Model:
         keys, counts = _gathered(batches)
         schema = pa.schema([("j", pa.int32()), ("id", pa.int64()), ("value", pa.float64())])
         if len(keys):
-            two = levels(keys, counts, depth, 2)[2]
+            made = levels(keys, counts, depth, 2)
+            two = made[2]
+            pairs = np.zeros(8 * 64)
+            for level in made.values():
+                _, n, total = totals(level)
+                pairs += np.bincount(step(total), n, len(pairs))
+            met = np.flatnonzero(pairs)
+            yield rows(schema, j=np.full(len(met), 9, np.int32), id=met, value=pairs[met])
             k, c = shorter(two.keys, two.counts, 2)
             yield rows(schema, j=np.full(len(k), 8, np.int32), id=k.astype(np.int64), value=c)
             for j in range(8):
@@ -169,7 +205,7 @@ def train(grams: DataFrame, s: Settings) -> Model:
     sums = dealt.mapInArrow(first, "j int, id long, value double").groupBy("j", "id").agg(F.sum("value").alias("value")).toPandas().sort_values("id")
     full = np.full((256, 256), math.log10(1 / 256))
     if sums.empty:
-        return Model(depth, np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.uint64), np.empty(0, np.float32), full)
+        return Model(depth, np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.uint64), np.empty(0, np.float32), full), None
     of = {j: x for j, x in sums.groupby("j")}
     one = Level(of[8]["id"].to_numpy().astype(np.uint64), of[8]["value"].to_numpy())
     one.weigh([of[j]["value"].to_numpy() for j in range(8)])
@@ -196,8 +232,8 @@ def train(grams: DataFrame, s: Settings) -> Model:
     for j in range(8):
         ground[j][0][one.ids[j].astype(int)], ground[j][1][one.ids[j].astype(int)] = at2[j], left2[j]
     sent = spark.sparkContext.broadcast((ground, full))
-    enough = _least_count(dealt, s)
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float32())])
+    enough = least_step(of[9]["id"].to_numpy(), of[9]["value"].to_numpy(), s.grams)
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float32()), ("frequent", pa.bool_())])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _gathered(batches)
@@ -212,14 +248,11 @@ def train(grams: DataFrame, s: Settings) -> Model:
             level = made[d]
             log_p = level.log_p(at, left)
             contexts, factor = rest(level, log_p, shorter_p)
-            kept, some = np.ones(len(log_p), bool), np.ones(len(contexts), bool)
-            if d == depth and enough > 1:
-                context = level.keys >> np.uint64(8)
-                some = np.bincount(np.searchsorted(contexts, context), level.counts) >= enough
-                kept = some[np.searchsorted(contexts, context)]
+            _, n, total = totals(level)
+            frequent = step(total) >= enough
             tag = np.uint64(d << 56)
-            yield rows(schema, kind=np.zeros(kept.sum(), np.int32), key=(level.keys[kept] | tag).astype(np.int64), value=log_p[kept].astype(np.float32))
-            yield rows(schema, kind=np.ones(some.sum(), np.int32), key=(contexts[some] | tag).astype(np.int64), value=factor[some].astype(np.float32))
+            yield rows(schema, kind=np.zeros(len(log_p), np.int32), key=(level.keys | tag).astype(np.int64), value=log_p.astype(np.float32), frequent=np.repeat(frequent, n))
+            yield rows(schema, kind=np.ones(len(contexts), np.int32), key=(contexts | tag).astype(np.int64), value=factor.astype(np.float32), frequent=frequent)
             if d < depth:
                 at, left = level.down(at, left)
                 nxt = made[d + 1]
@@ -227,21 +260,14 @@ def train(grams: DataFrame, s: Settings) -> Model:
                 at, left = [a[w] for a, w in zip(at, where)], [a[w] for a, w in zip(left, where)]
                 shorter_p = log_p[np.searchsorted(level.keys, nxt.keys & np.uint64((1 << (8 * (d + 1))) - 1))]
 
-    table = dealt.mapInArrow(second, "kind int, key long, value float").toArrow()
+    made, others = dealt.mapInArrow(second, "kind int, key long, value float, frequent boolean"), None
+    if enough:
+        made = written(made, "lm-model")
+        others = made.where("not frequent").drop("frequent")
+    table = made.where("frequent").drop("frequent").toArrow()
     kind, key, value = (table.column(i).to_numpy() for i in range(3))
     pick = kind == 0
-    return Model(depth, key[pick].view(np.uint64), value[pick], key[~pick].view(np.uint64), value[~pick], full)
-
-
-def _least_count(grams: DataFrame, s: Settings) -> int:
-    """The least count of a context of full depth in the model, so that it keeps to its bound."""
-    sizes = grams.groupBy((F.shiftright("gram", 8)).alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("grams"))
-    by = sizes.groupBy(F.least(F.col("n"), F.lit(10_000)).alias("n")).agg(F.sum("grams").alias("grams")).orderBy(F.desc("n")).toPandas()
-    room, least = s.grams // 2, 1  # the shorter contexts have the other half
-    if by["grams"].sum() > room:
-        fits = by[by["grams"].cumsum() <= room]
-        least = int(fits["n"].iloc[-1]) if len(fits) else 10_001
-    return least
+    return Model(depth, key[pick].view(np.uint64), value[pick], key[~pick].view(np.uint64), value[~pick], full, others is None), others
 
 
 class Table:
@@ -281,36 +307,63 @@ class Table:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.depth, self.one = model.depth, model.one
+        self.depth, self.one, self.whole = model.depth, model.one, model.whole
         self.grams, self.contexts = Table(model.grams, model.log_p), Table(model.contexts, model.factor)
 
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte; keys: context of full depth << 8 | byte."""
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
+    def log_p(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each byte by the contexts here, and the depth of the longest of its
+        contexts that is here; keys: context of full depth << 8 | byte."""
+        out, left, known = np.zeros(len(keys)), np.arange(len(keys)), np.full(len(keys), self.depth, np.int32)
         for d in range(self.depth, 1, -1):
             tag, own = np.uint64(d << 56), keys[left] & np.uint64((1 << (8 * (d + 1))) - 1)
             value, found = self.grams.get(own | tag)
             out[left] += value
             left, own = left[~found], own[~found]
             if not len(left):
-                return out
-            out[left] += self.contexts.get(own >> np.uint64(8) | tag)[0]
+                return out, known
+            value, found = self.contexts.get(own >> np.uint64(8) | tag)
+            out[left] += value
+            known[left[~found]] = d - 1
         own = keys[left]
         out[left] += self.one[(own >> np.uint64(8) & np.uint64(255)).astype(int), (own & np.uint64(255)).astype(int)]
-        return out
+        return out, known
 
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        out, i = np.zeros(len(texts)), 0
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """log10 probability of each text with its end by the contexts here, and what has to be looked
+        up in the others: per text its distinct bytes in context, their times, values so far, known depths."""
+        out, open_, i = np.zeros(len(texts)), [()] * len(texts), 0
         while i < len(texts):
             j, size = i, 0
             while j < len(texts) and (size < 1 << 20 or j == i):
                 size += len(texts[j]) + 1
                 j += 1
             keys, start = grams_of(texts[i:j], self.depth)
-            out[i:j] = np.add.reduceat(self.log_p(keys), start)
+            value, known = self.log_p(keys)
+            out[i:j] = np.add.reduceat(value, start)
+            if not self.whole:
+                for k, (a, b) in enumerate(zip(start.tolist(), [*start[1:].tolist(), len(keys)])):
+                    short = a + np.flatnonzero(known[a:b] < self.depth)
+                    gram, first, times = np.unique(keys[short], return_index=True, return_counts=True)
+                    open_[i + k] = gram.view(np.int64), times, value[short][first], known[short][first]
             i = j
-        return out
+        return out, open_
+
+
+def looked_up(wanted: DataFrame, others: DataFrame, depth: int) -> DataFrame:
+    """wanted (gram, so_far, known), distinct -> gram, plus: what the contexts in `others`, longer than
+    `known`, change in the log10 probability. The longest context after which the byte was seen gives
+    the probability; each longer one multiplies it by its factor. At most depth - 1 rows a gram."""
+    probes = wanted.select("*", F.explode(F.sequence(F.col("known") + 1, F.lit(depth))).alias("d")).withColumn("own", F.expr("gram & (shiftleft(1L, 8 * (d + 1)) - 1)"))
+    probes = probes.select("*", F.expr("own | shiftleft(cast(d AS long), 56)").alias("k0"), F.expr("shiftright(own, 8) | shiftleft(cast(d AS long), 56)").alias("k1"))
+    seen = others.where("kind = 0").select(F.col("key").alias("k0"), F.col("value").cast("double").alias("log_p"))
+    factors = others.where("kind = 1").select(F.col("key").alias("k1"), F.col("value").cast("double").alias("factor"))
+    met = probes.join(factors, "k1").join(seen, "k0", "left")  # a context that isn't there changes nothing
+    by = met.groupBy("gram").agg(
+        F.first("so_far").alias("so_far"), F.max(F.when(F.col("log_p").isNotNull(), F.struct("d", "log_p"))).alias("longest"), F.collect_list(F.struct("d", "factor")).alias("steps")
+    )
+    further = F.filter("steps", lambda x: x["d"] > F.coalesce(F.col("longest.d"), F.lit(0)))
+    factor = F.aggregate(further, F.lit(0.0), lambda a, x: a + x["factor"])
+    return by.select("gram", (F.coalesce("longest.log_p", "so_far") + factor - F.col("so_far")).alias("plus"))
 
 
 def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -391,11 +444,11 @@ def lm_scores(docs: DataFrame, learns, s: Settings | None = None) -> DataFrame:
     counts = written(counted(docs.where(learns), s), "lm-counts")
     words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select(F.col("key").alias("gram"), "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = train(grams, s)
+    model, others = train(grams, s)
     often = words.where((F.col("n") >= F.lit(s.common) * F.lit(total)) | (F.col("key") == END)).toPandas()
     sent = spark.sparkContext.broadcast((dict(zip(often["key"].tolist(), often["n"].tolist())), model))
     size = math.log10(total + kinds + 1)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("sum", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("sum", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("open", pa.list_(pa.int64())), ("open_times", pa.list_(pa.int64())), ("so_far", pa.list_(pa.float64())), ("known_depth", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, model = sent.value
@@ -423,18 +476,28 @@ def lm_scores(docs: DataFrame, learns, s: Settings | None = None) -> DataFrame:
                             rare.append(met[0])
                             times.append(c)
                     out.append((n, known, total, rare, times))
+                score, open_ = scorer.texts(texts)
                 yield rows(
                     schema, row=[xxhash.xxh64_intdigest(t, 1) >> 1 for t in texts], doc_id=part.column(0), n_tokens=[x[0] for x in out], known=[x[1] for x in out], sum=[x[2] for x in out],
-                    score=scorer.texts(texts), n_bytes=list(map(len, texts)), rare=[x[3] for x in out], times=[x[4] for x in out],
+                    score=score, n_bytes=list(map(len, texts)), rare=[x[3] for x in out], times=[x[4] for x in out],
+                    **{name: [x[k] if x else None for x in open_] for k, name in enumerate(("open", "open_times", "so_far", "known_depth"))},
                 )
 
-    made = written(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sum double, score double, n_bytes long, rare array<long>, times array<long>"), "lm-rows")
+    made = written(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sum double, score double, n_bytes long, rare array<long>, times array<long>, open array<long>, open_times array<long>, so_far array<double>, known_depth array<int>"), "lm-rows")
     # Equal texts have equal words: each text's rare words are joined once.
     texts = made.groupBy("row").agg(F.first("rare").alias("rare"), F.first("times").alias("times"))
     pairs = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     met = pairs.join(words.where(F.col("n") < F.lit(s.common) * F.lit(total)), "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("plus"))
+    if others is not None:
+        once = made.groupBy("row").agg(*(F.first(c).alias(c) for c in ("open", "open_times", "so_far", "known_depth")))
+        zipped = once.select("row", F.explode(F.arrays_zip("open", "open_times", "so_far", "known_depth")).alias("x"))
+        each = zipped.select("row", F.col("x.open").alias("gram"), F.col("x.open_times").alias("times"), F.col("x.so_far").alias("so_far"), F.col("x.known_depth").alias("known"))
+        wanted = each.groupBy("gram").agg(F.first("so_far").alias("so_far"), F.first("known").alias("known"))
+        more = each.select("row", "gram", "times").join(looked_up(wanted, others, s.depth), "gram")
+        change = more.groupBy("row").agg(F.sum(F.col("times") * F.col("plus")).alias("change"))
+        made = made.join(change, "row", "left").withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0)))
     n = F.col("n_tokens")
-    return made.drop("rare", "times").join(met, "row", "left").select(
+    return made.drop("rare", "times", "open", "open_times", "so_far", "known_depth").join(met, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("plus", F.lit(0.0)) - n * F.lit(size)).alias("base_score"), "score", "n_bytes",
         (F.col("score") * (-math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),

@@ -158,13 +158,28 @@ def test_base_scores_match_brute_force(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(x) + 1, sum(count[w] > 0 for w in x) + 1, total)
 
 
-def test_rare_words_are_joined_and_the_model_is_bounded(spark):
+def test_what_is_not_broadcast_is_joined_and_changes_no_score(spark):
     docs = documents(spark)
-    a = ctw.lm_scores(docs, F.lit(True)).select("doc_id", F.round("base_score", 6)).orderBy("doc_id").collect()
-    small = ctw.Settings(common=0.5, grams=2000)
-    got = ctw.lm_scores(docs, F.lit(True), small)
-    assert got.select("doc_id", F.round("base_score", 6)).orderBy("doc_id").collect() == a
-    assert got.where("score < 0").count() == len(texts())
+    learns = F.col("doc_id") % 3 != 1
+    scores = lambda s: {r.doc_id: r for r in ctw.lm_scores(docs, learns, s).collect()}
+    whole = scores(ctw.Settings())
+    for grams in (0, 50, 2000):
+        got = scores(ctw.Settings(common=0.5, grams=grams))
+        assert len(got) == len(texts())
+        for i, r in got.items():
+            assert abs(r.base_score - whole[i].base_score) < 1e-6 * max(1, abs(r.base_score))
+            assert abs(r.score - whole[i].score) < 1e-5 * max(1, abs(r.score)), (grams, i)
+
+
+def test_the_broadcast_part_keeps_to_its_bound(spark):
+    learned = ctw.written(ctw.counted(documents(spark), ctw.Settings()), "counts").where("kind = 1").selectExpr("key AS gram", "n")
+    whole, none = ctw.train(learned, ctw.Settings())
+    assert none is None and whole.whole
+    for most in (0, 50, 2000):
+        part, others = ctw.train(learned, ctw.Settings(grams=most))
+        assert len(part.grams) <= most and len(part.contexts) <= most
+        assert len(part.grams) + others.where("kind = 0").count() == len(whole.grams)
+        assert len(part.contexts) + others.where("kind = 1").count() == len(whole.contexts)
 
 
 def test_lm_of_odd_tables(spark):
