@@ -60,3 +60,22 @@ def script_rows(rows: DataFrame, key: str, text: str, mark: str = ":") -> DataFr
     each = rows.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
     at = F.locate(mark, F.col("line"))
     return each.select(key, "n", F.when(at > 0, F.substring(F.col("line"), F.lit(1), at - 1)).otherwise("").alias("speaker"), F.when(at > 0, F.substring(F.col("line"), at + len(mark), F.length("line"))).otherwise(F.col("line")).alias("body"))
+
+
+def lyrics_status(draft: Column, published: Column, document: Column) -> Column:
+    """none, draft, draft-published (another revision is published) or published."""
+    both = draft.isNotNull() & published.isNotNull()
+    return F.when(both & (draft == published), "published").when(both, "draft-published").when(draft.isNotNull() | document.isNotNull(), "draft").otherwise("none")
+
+
+def searched(entries: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows of which a column contains the needle, case ignored."""
+    return entries.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(needle.lower())) for c in columns)))
+
+
+def narrowed(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values; a list admits several, None any."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(column).isin(list(value)) if isinstance(value, (list, tuple)) else F.col(column) == value)
+    return rows
