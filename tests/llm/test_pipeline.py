@@ -22,7 +22,8 @@ def tables(spark, folder):
     item = prose(77, 20)
     near = clean.split()
     near[20] = "changed"
-    more = [clean, " ".join(near), prose(5000, 20) + " " + item.upper() + " " + prose(5001, 20), None, ""]
+    louder = "".join(c.upper() if "a" <= c <= "z" else c for c in item)  # other letters keep their case by the contract
+    more = [clean, " ".join(near), prose(5000, 20) + " " + louder + " " + prose(5001, 20), None, ""]
     more += [f"A line that all of them share\n{prose(6000 + i, 40)}" for i in range(12)]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows + more)]
     documents(spark, docs).write.parquet(f"{folder}/documents.parquet")
