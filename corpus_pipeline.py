@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglint.llm import bpe, decontam, linededup, simhash, toxicity
+from polyglint.llm import bpe, decontam, linededup, neardup, toxicity
 from polyglint.llm.common import fresh_path
 from polyglint.llm.queries import tokenizer_path
 from polyglint.session import table
@@ -35,7 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 similarity of five-word shingles the smallest id stays."""
-    found = simhash.near_duplicates(docs, width=5, cover=simhash.wide_cover(8), similarity=0.8)
+    found = neardup.near_copies(docs.select("doc_id", "text"), width=5, similarity=0.8)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")

@@ -10,6 +10,7 @@ with all that were copied there. No pair within t is lost.
 Bits may be cut into blocks with a code each: a pair t apart is at most t // blocks apart in one
 of them. One block and the product of two Golay codes and two repetition codes give 2**26 anchors
 (covering radius 14) for small thresholds; three blocks of one Golay code each reach 8 bits.
+Links by similarity are found with several fingerprints of each text: see neardup.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, encoded, partitions, rows, saved
+from .common import by_size, columns_of, encoded, partitions, rows, saved, written
 from .components import components
 
 SEED = 42
@@ -121,21 +122,39 @@ def fingerprint(text: bytes, width: int) -> int:
     return _vote(words, joined, width)
 
 
-def _vote(words: list[bytes], joined: bytes, width: int) -> int:
+def _hashes(words: list[bytes], joined: bytes, width: int) -> np.ndarray:
+    """Hashes of all shingles, repeated ones too; a text of fewer words than a shingle is one."""
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        end = np.cumsum(size + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip((end - size)[: 1 - width].tolist() if width > 1 else (end - size).tolist(), end[width - 1 :].tolist())]
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = np.cumsum(size + 1) - 1
+    start = (end - size)[: len(words) - width + 1].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start, end[width - 1 :].tolist())), dtype=np.uint64, count=len(start))
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """The hashes as those of another seed, by the finalizer of splitmix64; seed 0 leaves them."""
+    if seed == 0:
+        return hashes
+    x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _vote(words: list[bytes], joined: bytes, width: int) -> int:
+    return _majority(_hashes(words, joined, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, fingerprint, content) as longs; content is a hash of the sequence of words.
     Texts of fewer words than a shingle hash as a whole; texts without words (null and empty ones
@@ -244,40 +263,45 @@ def near_duplicates(docs: DataFrame, width: int = 3, cover: Cover | None = None,
 
     Members are the distinct fingerprints, named by the smallest doc_id; links join members whose
     fingerprints differ in at most cover.threshold bits; component_id is the smallest doc_id that
-    can be reached. With a similarity, members are the distinct sequences of words, and a link must
-    also reach that Jaccard similarity of its shingles. Rows with a null id are left out; repeated
-    rows give repeated results; an empty table an empty one.
+    can be reached. With a similarity, members are the distinct sequences of words, linked as in
+    neardup.near_copies. Rows with a null id are left out; repeated rows give repeated results; an
+    empty table an empty one.
     """
     docs = columns_of(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col).toDF("doc_id", "text")
-    found = saved(fingerprints(docs, width))
-    key = ["fingerprint"] if similarity is None else ["fingerprint", "content"]
-    members = saved(found.groupBy(*key).agg(F.min("doc_id").alias("id")))
-    pairs = links(members, cover or narrow_cover())
     if similarity is not None:
-        pairs = similar(saved(pairs), docs, width, similarity)
-    label = components(pairs)
-    named = members.join(label, "id", "left").select(*key, F.coalesce("label", "id").alias("component_id"))
-    return found.join(named, key).select("doc_id", "fingerprint", "component_id")
+        from .neardup import near_copies
+
+        return near_copies(docs, width, similarity, cover).select("doc_id", "fingerprint", "component_id")
+    found = saved(fingerprints(docs, width))
+    members = saved(found.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
+    label = components(links(members, cover or narrow_cover()))
+    named = members.join(label, "id", "left").select("fingerprint", F.coalesce("label", "id").alias("component_id"))
+    return found.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have at least this Jaccard similarity of their distinct shingles.
     Only texts named in a pair move."""
+    return judged(pairs, docs, width, similarity).where("ok").select("a", "b")
+
+
+def judged(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) and ok: whether they have this similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        for batch in batches:
+        for batch in (x for b in batches for x in by_size(b, 1)):
             out = []
             for text in encoded(batch.column(1)):
                 words = text.lower().split()
-                found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))} if words else set()
-                out.append(np.array(sorted(found), dtype=np.uint64).view(np.int64))
+                found = np.unique(_hashes(words, b" ".join(words), width)) if words else np.empty(0, np.uint64)
+                out.append(found.view(np.int64))
             yield rows(schema, id=batch.column(0), shingles=out)
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(named, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, shingles array<long>")
-    sets = saved(sets)
+    sets = docs.join(named, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
+    sets = written(sets, "shingles")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    return both.select("a", "b", (shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).alias("ok"))
