@@ -5,6 +5,10 @@ links of one fingerprint within 8 bits lose many of them. Here each text has SEE
 fingerprints. Each is cut into four blocks, and a pair meets wherever one block of one fingerprint
 has an anchor of both: always if they differ in at most 7 bits there, and mostly if in more. Pairs
 that met are candidates if they differ in at most REACH bits of this and the next fingerprint.
+
+Candidates are thinned only by links that passed the Jaccard test: a candidate is left out where its
+texts are in one verified group, or (for now) where others join the same groups. Groups in which a
+test failed are searched again, with more candidates for each text, until none is left out.
 """
 
 from __future__ import annotations
@@ -169,6 +173,20 @@ def linked(members: DataFrame, docs: DataFrame, width: int, similarity: float, c
     label = components(known.where("ok"))
     known = known.unionByName(written(tested(candidates(labelled(members, label).where("seed > 0"), cover).select("a", "b")), "tested"))
     label = components(known.where("ok"))
+    failed = known.where("not ok")
+    if failed.isEmpty():
+        return label
+    group = saved(components(known).withColumnRenamed("label", "group"))
+    again = group.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("group").distinct()
+    live = saved(members.join(group.join(again, "group", "left_semi").select("id"), "id", "left_semi"))
+    most, more = FIRST, True
+    while more:
+        found = written(candidates(labelled(live, label), cover, most), "pairs")
+        more = not found.where("more").isEmpty()
+        fresh = found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti")
+        known = known.unionByName(written(tested(fresh), "tested"))
+        label = components(known.where("ok"))
+        most *= 4
     return label
 
 

@@ -52,6 +52,20 @@ def test_candidates_within_the_guarantee_meet(spark):
     assert {(2 * i, 2 * i + 1) for i in range(150)} <= {(x.a, x.b) for x in found}
 
 
+def test_a_failed_link_does_not_hide_another(spark):
+    """Nearest candidates first, A-C would join A and B by C; it fails, and A-B has to be tried."""
+    base = [f"w{i}" for i in range(100)]
+    texts = {1: base, 2: base[:97] + ["x", "y", "z"], 3: base[:97] + ["x", "y", "q"] + [f"more{i}" for i in range(22)]}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    assert likeness(texts[1], texts[2]) >= 0.8 > max(likeness(texts[1], texts[3]), 0)
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    members = spark.createDataFrame([(i, i, *[b] * neardup.SEEDS) for i, b in ((1, 0), (2, 0b1111), (3, 0b11))], f"id long, row long, {', '.join(f'{n} long' for n in neardup.SEEN)}")
+    from pyspark.sql import functions as F
+
+    label = neardup.linked(members, docs.select(F.col("doc_id").alias("row"), "text"), 5, 0.8, neardup.four_blocks())
+    assert {r.id: r.label for r in label.collect()} == {1: 1, 2: 1}
+
+
 def test_candidates_are_limited_and_say_so(spark):
     rows = [member(i, i) for i in range(40)]
     found = neardup.candidates(spark.createDataFrame(rows, neardup.MEMBER), neardup.four_blocks(), 2).collect()
