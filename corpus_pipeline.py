@@ -27,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the first alone; documents left without any text
-    by that are copies of others and go. Documents that were blank before stay."""
-    left = linededup.line_dedup(docs, documents=10, least=1, keep_first=True)
+    """Lines found in ten documents or more, and passages (lines of 50 words or more) found in two,
+    stay in the first alone; documents left without any text by that are copies of others and go.
+    Documents that were blank before stay. Short lines need ten: they repeat by chance too."""
+    left = linededup.line_dedup(docs, documents=10, least=1, keep_first=True, passage=50)
     return _lengths(left.where(r"n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'").select(*docs.columns))
 
 

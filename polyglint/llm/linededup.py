@@ -109,11 +109,16 @@ def twice_seen(docs: DataFrame, least: int, bits: int, tasks: int) -> np.ndarray
     return field
 
 
-def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: int = BITS, tasks: int = 48) -> DataFrame:
+def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: int = BITS, tasks: int = 48, passage: int | None = None) -> DataFrame:
     """docs (text) -> (key, n_documents, first): line keys of at least `least` code points that are
-    found in at least `documents` rows, and (where doc_id is there) the smallest doc_id with it."""
+    found in at least `documents` rows (in two, for lines of `passage` words or more), and (where
+    doc_id is there) the smallest doc_id with it."""
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least, bits, tasks))
-    schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("enough", pa.int64())])
+
+    def given(count: dict[bytes, list]) -> pa.RecordBatch:
+        enough = [min(2, documents) if passage is not None and len(k.split()) >= passage else documents for k in count]
+        return rows(schema, key=list(count), first=[x[0] for x in count.values()], n=[x[1] for x in count.values()], enough=enough)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, digest = sent.value, xxhash.xxh64_intdigest
@@ -130,19 +135,20 @@ def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: in
                     if doc is not None and (met[0] is None or doc < met[0]):
                         met[0] = doc
             if len(count) > 200_000:
-                yield rows(schema, key=list(count), first=[x[0] for x in count.values()], n=[x[1] for x in count.values()])
+                yield given(count)
                 count = {}
         if count:
-            yield rows(schema, key=list(count), first=[x[0] for x in count.values()], n=[x[1] for x in count.values()])
+            yield given(count)
 
-    counted = docs.select("doc_id", "text").mapInArrow(suspects, "key binary, first long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n_documents"), F.min("first").alias("first")).where(F.col("n_documents") >= documents)
+    counted = docs.select("doc_id", "text").mapInArrow(suspects, "key binary, first long, n long, enough long")
+    found = counted.groupBy("key").agg(F.sum("n").alias("n_documents"), F.min("first").alias("first"), F.min("enough").alias("enough"))
+    return found.where("n_documents >= enough").drop("enough")
 
 
-def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first: bool = False, bits: int = BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first: bool = False, bits: int = BITS, broadcast_bytes: int = BROADCAST_BYTES, passage: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with all their columns, text without the lines whose key (ASCII white
     space stripped, A-Z lower-cased, at least `least` code points) occurs in at least `documents`
-    rows, and n_lines, n_dropped. keep_first leaves such lines in the document with the smallest id.
+    rows, and n_lines, n_dropped. Lines of `passage` words or more count from two rows on. keep_first leaves such lines in the document with the smallest id.
 
     A null or empty text is one empty line, which is never dropped, and comes back as ''. A text all
     of whose lines go becomes ''. Each row counts as one document, whatever its id. Columns of docs
@@ -152,7 +158,7 @@ def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first:
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    keys = saved(repeated_keys(docs, documents, least, bits))
+    keys = saved(repeated_keys(docs, documents, least, bits, passage=passage))
     size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()[0]
     schema = StructType(list(docs.schema)).add("n_lines", LongType()).add("n_dropped", LongType())
     at, id_at = kept.index("text"), kept.index("doc_id")

@@ -67,6 +67,13 @@ def test_stages_bear_odd_rows_and_extra_columns(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, folder).count() == odd.count()
 
 
+def test_passages_of_two_documents_stay_in_the_first_alone(spark):
+    passage, short = " ".join(f"word{i}" for i in range(60)), "a line of a few words"
+    docs = documents(spark, [(i, f"{passage}\nown text {i}\n{short}" if i < 2 else f"other {i}", "en", "s", 0) for i in range(4)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got[0].startswith(passage) and got[1] == f"own text 1\n{short}" and got[2] == "other 2"
+
+
 def test_all_queries_are_registered():
     names = queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
