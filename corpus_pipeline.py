@@ -35,12 +35,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 similarity of five-word shingles the smallest id stays."""
+    """Of each group of texts linked by 0.8 similarity of five-word shingles one row of the smallest
+    id stays. Rows are told apart by id and text, so a repeated id loses only the texts that are
+    copies; rows without an id stay."""
     found = neardup.near_copies(docs.select("doc_id", "text"), width=5, similarity=0.8)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept if again.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    gone = found.where("row <> kept_row").select(F.col("row").alias("__row")).distinct()
+    kept = docs.withColumn("__row", neardup.row_key()).join(gone, "__row", "left_anti")
+    again = found.where("row = kept_row").groupBy("row").count().where("count > 1")
+    if not again.isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["__row"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

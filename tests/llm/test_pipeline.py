@@ -74,6 +74,14 @@ def test_passages_of_two_documents_stay_in_the_first_alone(spark):
     assert got[0].startswith(passage) and got[1] == f"own text 1\n{short}" and got[2] == "other 2"
 
 
+def test_near_dedup_of_repeated_ids_drops_only_copies(spark):
+    one, two, three = (prose(9000 + i, 60) for i in range(3))
+    rows = [(1, one), (5, one), (5, two), (5, three), (5, three), (7, two + " "), (None, one)]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (5, two), (5, three), (0, one)])
+
+
 def test_all_queries_are_registered():
     names = queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
