@@ -2,9 +2,10 @@
 
 Direct identifiers (email, IP address, card and phone numbers) are found by pattern. They are the
 protected entities. A second pass estimates from the corpus how strongly a term reveals one of them:
-with n(e) contexts of an entity, n(t) documents with a term and n(t, e) different contexts of e that
-have t near it, the term discloses log2(n(t, e) * N / (n(t) * n(e))) bits about e and names it with
-the probability n(t, e) / n(t). Terms beyond both thresholds are spans of the kind "term" wherever
+with d(e) documents with an entity, d(t) with a term and d(t, e) with t near e, of N in all, the term
+discloses log2(d(t, e) * N / (d(t) * d(e))) bits about e and names it with the probability
+d(t, e) / d(t). So that copies of one text are no evidence, t must be in several different contexts
+of e. Terms beyond both thresholds are spans of the kind "term" wherever
 they stand, and are generalised or removed like the others.
 """
 
@@ -74,38 +75,52 @@ def entity(kind: int, value: str) -> str:
 
 
 def disclosing(docs: DataFrame, s: Settings) -> DataFrame:
-    """docs (text) -> (term, entity, n_both, n_term, n_entity, bits) for terms beyond the thresholds.
+    """docs (text) -> (term, entity, n_both, n_term, n_entity, d_both, d_entity, bits) for terms beyond
+    the thresholds.
 
-    Documents are counted by row; contexts are counted by their own words, so that copies of a text
-    count as one context. All numbers are aggregated over the whole corpus.
+    n_both and n_entity count contexts by their own words, so that copies of a text count as one;
+    only the support is held against them. d_both, n_term and d_entity count documents, each row as
+    one; bits and share are taken from these. All numbers are aggregated over the whole corpus.
     """
-    schema = pa.schema([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))])
+    context = pa.struct([("context", pa.int64()), ("terms", pa.list_(pa.string()))])
+    schema = pa.schema([("entity", pa.string()), ("place", pa.string()), ("contexts", pa.list_(context)), ("n", pa.int64())])
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            # What documents have of an entity, and how many have just that: copies fall into one row.
+            count: dict[tuple[str, str], list] = {}
             for text in strings(batch.column(0)):
-                found = direct(text)
+                found, of = direct(text), {}
                 for a, b, kind in found:
                     before = WORD.findall(blanked(text[max(0, a - 400) : a], found, max(0, a - 400)).lower())[-s.near :]
                     after = WORD.findall(blanked(text[b : b + 400], found, b).lower())[: s.near]
                     words = before + after
-                    out.append((entity(kind, text[a:b]), xxhash.xxh64_intdigest("\0".join(words)) >> 1, sorted({w for w in words if not w.isdigit()})))
-            yield rows(schema, entity=[x[0] for x in out], context=[x[1] for x in out], terms=[x[2] for x in out])
-
-    met = saved(docs.select("text").mapInArrow(mentions, "entity string, context long, terms array<string>").dropDuplicates(["entity", "context"]))
-    both = met.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= s.support)
+                    of.setdefault(entity(kind, text[a:b]), {})[xxhash.xxh64_intdigest("\0".join(words)) >> 1] = sorted({w for w in words if not w.isdigit()})
+                for e, contexts in of.items():
+                    place = hashlib.sha256(",".join(map(str, sorted(contexts))).encode()).hexdigest()
+                    count.setdefault((e, place), [contexts, 0])[1] += 1
+            yield rows(
+                schema, entity=[e for e, _ in count], place=[p for _, p in count],
+                contexts=[[{"context": c, "terms": t} for c, t in x.items()] for x, _ in count.values()], n=[n for _, n in count.values()],
+            )
+
+    made = docs.select("text").mapInArrow(mentions, "entity string, place string, contexts array<struct<context:long,terms:array<string>>>, n long")
+    met = saved(made.groupBy("entity", "place").agg(F.first("contexts").alias("contexts"), F.sum("n").alias("n")))
+    each = met.select("entity", F.explode("contexts").alias("x")).select("entity", "x.context", "x.terms").dropDuplicates(["entity", "context"])
+    both = each.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= s.support)
     both = saved(both)
-    of_entity = met.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_entity = each.groupBy("entity").agg(F.count("*").alias("n_entity")).join(met.groupBy("entity").agg(F.sum("n").alias("d_entity")), "entity")
+    near = met.select("entity", "n", F.explode(F.array_distinct(F.flatten(F.col("contexts.terms")))).alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("d_both"))
     terms = both.select("term").distinct()
     n_terms = terms.count()
     total = docs.count()
     if n_terms == 0:
-        return both.select("term", "entity", "n_both", F.lit(0).cast("long").alias("n_term"), F.lit(0).cast("long").alias("n_entity"), F.lit(0.0).alias("bits"))
+        none = F.lit(0).cast("long")
+        return both.select("term", "entity", "n_both", none.alias("n_term"), none.alias("n_entity"), none.alias("d_both"), none.alias("d_entity"), F.lit(0.0).alias("bits"))
     n_term = frequencies(docs, terms, n_terms <= s.broadcast_rows)
-    all_ = both.join(n_term, "term").join(of_entity, "entity")
-    bits = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    return all_.withColumn("bits", bits).where((F.col("bits") >= s.bits) & (F.col("n_both") >= s.share * F.col("n_term"))).select("term", "entity", "n_both", "n_term", "n_entity", "bits")
+    all_ = both.join(n_term, "term").join(of_entity, "entity").join(near, ["entity", "term"])
+    bits = F.log2(F.col("d_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("d_entity")))
+    return all_.withColumn("bits", bits).where((F.col("bits") >= s.bits) & (F.col("d_both") >= s.share * F.col("n_term"))).select("term", "entity", "n_both", "n_term", "n_entity", "d_both", "d_entity", "bits")
 
 
 def blanked(part: str, found: list[tuple[int, int, int]], offset: int) -> str:

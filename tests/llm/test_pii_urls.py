@@ -62,6 +62,16 @@ def test_terms_that_reveal_an_entity_are_found(spark, sent):
     assert all(base[i] == brute(t or "") for i, t in enumerate(rows))
 
 
+def test_copies_weigh_the_same_on_both_sides(spark):
+    """A term that stands beside an entity wherever it is, in a text copied often too."""
+    rows = [f"{prose(300 + i, 12)} Quimby answers at ann@mail.example.com on {prose(400 + i, 12)}" for i in range(4)]
+    rows += [rows[0]] * 40 + [prose(500 + i, 30) for i in range(900)]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(rows)])
+    found = {r.term: r for r in pii.disclosing(docs, pii.Settings()).collect()}
+    r = found["quimby"]
+    assert (r.n_both, r.n_entity, r.d_both, r.n_term, r.d_entity) == (4, 4, 44, 44, 44)
+
+
 def test_sanitised_text(spark):
     docs, _ = corpus(spark)
     found = pii.find_personal_data(docs, pii.Settings(bits=2.0))
