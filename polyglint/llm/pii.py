@@ -41,7 +41,7 @@ class Settings:
     beyond it, terms are joined with the documents' words."""
 
     near: int = 5
-    support: int = 3
+    support: int = 2
     bits: float = 4.0
     share: float = 0.5
     broadcast_rows: int = 500_000

@@ -72,6 +72,12 @@ def test_copies_weigh_the_same_on_both_sides(spark):
     assert (r.n_both, r.n_entity, r.d_both, r.n_term, r.d_entity) == (4, 4, 44, 44, 44)
 
 
+def test_two_contexts_are_enough_by_default(spark):
+    rows = [f"{prose(600 + i, 12)} Quimby answers at ann@mail.example.com on {prose(700 + i, 12)}" for i in range(2)] + [prose(800 + i, 30) for i in range(100)]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(rows)])
+    assert "quimby" in {r.term for r in pii.disclosing(docs, pii.Settings()).collect()}
+
+
 def test_sanitised_text(spark):
     docs, _ = corpus(spark)
     found = pii.find_personal_data(docs, pii.Settings(bits=2.0))
