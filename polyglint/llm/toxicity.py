@@ -1,8 +1,13 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
+"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct hashed unigrams, bigrams, trigrams and skip-grams (one word left out) of a
-text. FTRL keeps a learning rate for every coordinate and drives weak ones to exactly zero (L1), so
-the model is a short list of slots and weights with a fixed bound (2**bits), sent to the tasks.
+text. Unigrams are taken of the words and of their stems (words cut to 3 to 7 letters), so that other
+endings of a word that was learned count too. FTRL keeps a learning rate for every coordinate and
+drives weak ones to exactly zero (L1), so the model is a short list of slots and weights with a fixed
+bound (2**bits), sent to the tasks.
+
+Texts may be of any length: features are made MB by MB of text, and one text's own features are all
+that grows with it.
 """
 
 from __future__ import annotations
@@ -12,15 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, rows, strings
+from .common import by_size, columns_of, rows, strings
 
 WORD = regex.compile(r"[^\W_]+")
+#: Letters that stems of a word keep.
+STEMS = (3, 4, 5, 6, 7)
+_K0 = 0x9E3779B97F4A7C15
+_K = tuple(np.uint64(x) for x in (_K0, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 @dataclass(frozen=True)
@@ -31,42 +39,57 @@ class Settings:
 
     bits: int = 20
     sample: int = 12_000
-    alpha: float = 0.3
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 0.5
+    l1: float = 6.0
     l2: float = 1.0
-    epochs: int = 3
+    epochs: int = 4
     threshold: float = 0.7
 
 
-class _Ids(dict):
-    """Word -> 32-bit number; forgets all when it grows beyond its bound."""
+class Words(dict):
+    """Word -> row of `hashed`: the word's hash, its unigram and those of its stems (for stems no shorter
+    than the word, its own unigram again). Forgets all when it grows beyond its bound."""
+
+    most = 400_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashed = np.zeros((1024, 2 + len(STEMS)), dtype=np.uint64)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        at = len(self)
+        if at == len(self.hashed):
+            self.hashed = np.concatenate([self.hashed, np.zeros_like(self.hashed)])
+        own = zlib.crc32(word.encode())
+        stems = [(zlib.crc32(word[:k].encode()), 10 + k) if k < len(word) else (own, 1) for k in STEMS]
+        self.hashed[at] = [own, *((n * _K0 + kind) % 2**64 for n, kind in ((own, 1), *stems))]
+        self[word] = at
+        return at
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.most:
             self.clear()
-        self[word] = n = zlib.crc32(word.encode()) & 0xFFFFFFFF
-        return n
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def features(text: str, ids: _Ids, bits: int) -> np.ndarray:
+def features(text: str, ids: Words, bits: int) -> np.ndarray:
     """Sorted distinct slots of a text."""
-    words = WORD.findall(text.lower())
-    w = np.fromiter(map(ids.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-    parts = [w * k[0] + np.uint64(1)]
+    at = ids.rows_of(WORD.findall(text.lower()))
+    w = ids.hashed[at, 0]
+    parts = [ids.hashed[np.unique(at), 1:].ravel()]
     if len(w) > 1:
-        parts.append((w[:-1] * k[1] ^ w[1:] * k[2]) * k[0] + np.uint64(2))
+        parts.append((w[:-1] * _K[1] ^ w[1:] * _K[2]) * _K[0] + np.uint64(2))
     if len(w) > 2:
-        parts.append((w[:-2] * k[1] ^ w[2:] * k[2]) * k[0] + np.uint64(3))
-        parts.append((w[:-2] * k[1] ^ w[1:-1] * k[2] ^ w[2:] * k[3]) * k[0] + np.uint64(4))
+        parts.append((w[:-2] * _K[1] ^ w[2:] * _K[2]) * _K[0] + np.uint64(3))
+        parts.append((w[:-2] * _K[1] ^ w[1:-1] * _K[2] ^ w[2:] * _K[3]) * _K[0] + np.uint64(4))
     mixed = np.concatenate(parts)
     mixed ^= mixed >> np.uint64(29)
-    return np.unique((mixed * k[3]) >> np.uint64(64 - bits)).astype(np.int32)
+    return np.unique((mixed * _K[3]) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots and weights that are not zero, and the bias."""
+def ftrl(values: np.ndarray, ends: np.ndarray, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights that are not zero, and the bias. Example k has the slots values[ends[k]:ends[k + 1]]."""
     size = (1 << s.bits) + 1  # the last slot is the bias
     z, n = np.zeros(size), np.zeros(size)
     bias = np.array([size - 1])
@@ -77,15 +100,14 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[n
 
     order = np.random.default_rng(7)
     for _ in range(s.epochs):
-        for x in order.permutation(len(examples)):
-            i = np.concatenate([examples[x], bias])
+        for x in order.permutation(len(labels)):
+            i = np.concatenate([values[ends[x] : ends[x + 1]], bias])
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[x]
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / s.alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    all_slots = np.arange(size - 1)
-    w = weights(all_slots)
+    w = weights(np.arange(size - 1))
     kept = np.flatnonzero(w)
     return kept, w[kept], float(weights(bias)[0])
 
@@ -98,17 +120,26 @@ def fit(labelled: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, float
     schema = pa.schema([("label", pa.int32()), ("slots", pa.list_(pa.int32()))])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
-        for batch in batches:
+        ids = Words()
+        for batch in (x for b in batches for x in by_size(b, 1)):
             yield rows(schema, label=batch.column(0).cast(pa.int32()), slots=[features(t, ids, bits) for t in strings(batch.column(1))])
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort((pdf["slots"].map(len), pdf["slots"].map(lambda x: zlib.crc32(np.asarray(x).tobytes()))))]
-        slots, weights, bias = ftrl([np.asarray(x) for x in pdf["slots"]], pdf["label"].to_numpy(dtype=float), s)
-        return pd.DataFrame({"slot": np.append(slots, -1), "weight": np.append(weights, bias)})
-
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, size, values = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for batch in batches:
+            labels.append(batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+            size.append(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            values.append(batch.column(1).flatten().to_numpy())
+        y, ends, x = np.concatenate(labels), np.r_[0, np.cumsum(np.concatenate(size))], np.concatenate(values)
+        out = pa.schema([("slot", pa.int64()), ("weight", pa.float64())])
+        if len(y):
+            slots, weights, bias = ftrl(x, ends, y, s)
+            yield rows(out, slot=np.append(slots, -1), weight=np.append(weights, bias))
+
+    # In an order of their own, so that the model does not depend on how rows arrive.
     made = chosen.select("label", "text").mapInArrow(prepare, "label int, slots array<int>")
-    model = made.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "slot long, weight double").toPandas()
+    one = made.withColumn("place", F.xxhash64("slots")).repartition(1).sortWithinPartitions("place", "label").select("label", "slots")
+    model = one.mapInArrow(learn, "slot long, weight double").toPandas()
     if model.empty:
         return np.empty(0, np.int64), np.empty(0), 0.0
     bias = model["slot"] == -1
@@ -127,9 +158,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, weights, bias = sent.value
-        dense, ids = np.zeros(1 << s.bits), _Ids()
+        dense, ids = np.zeros(1 << s.bits), Words()
         dense[slots] = weights
-        for batch in batches:
+        for batch in (x for b in batches for x in by_size(b, at)):
             sums = np.fromiter((dense[features(t, ids, s.bits)].sum() for t in strings(batch.column(at))), dtype=float, count=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])

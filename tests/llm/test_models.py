@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -43,17 +44,73 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def flat(examples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(examples), np.r_[0, np.cumsum([len(x) for x in examples])]
+
+
 def test_weights_are_sparse_and_bounded():
     r = np.random.default_rng(1)
     examples = [np.unique(np.append(r.integers(0, 4095, 30), [4095] if i % 2 else [])).astype(np.int32) for i in range(400)]
     sizes = []
     for l1 in (0.0, 0.5, 2.0):
-        slots, weights, bias = toxicity.ftrl(examples, np.array([i % 2 for i in range(400)], float), toxicity.Settings(bits=12, l1=l1))
+        slots, weights, bias = toxicity.ftrl(*flat(examples), np.array([i % 2 for i in range(400)], float), toxicity.Settings(bits=12, l1=l1, alpha=0.3, epochs=3))
         assert len(slots) <= 1 << 12 and slots[np.argmax(weights)] == 4095 and bias < 0
         sizes.append(len(slots))
     assert sizes[0] > 3500 and sizes[1] < 0.6 * sizes[0] and sizes[2] < 0.1 * sizes[0]
 
 
+def test_ftrl_is_its_definition_coordinate_by_coordinate():
+    r = np.random.default_rng(3)
+    examples = [np.unique(r.integers(0, 200, r.integers(0, 25))).astype(np.int32) for _ in range(150)]
+    labels = np.array([float(len(x) and x[0] % 3 == 0) for x in examples])
+    s = toxicity.Settings(bits=8, l1=0.4, l2=0.7, alpha=0.9, beta=1.3, epochs=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(examples)).tolist():
+            known = {i: weight(i) for i in [*examples[k].tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-sum(known.values()))) - labels[k]
+            for i, w in known.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    slots, weights, bias = toxicity.ftrl(*flat(examples), labels, s)
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert want and set(slots.tolist()) == set(want) and abs(bias - weight("bias")) < 1e-9
+    assert all(abs(w - want[i]) < 1e-9 for i, w in zip(slots.tolist(), weights.tolist()))
+
+
+def test_features_are_distinct_grams_skip_grams_and_stems():
+    ids = toxicity.Words()
+    one, other = (set(toxicity.features(t, ids, 20).tolist()) for t in ("badness here now", "badly here now"))
+    assert len(one) == 3 + (4 + 1) + 2 + 1 + 1 and len(toxicity.features("", ids, 20)) == 0  # words, stems, bigrams, a skip-gram, a trigram
+    assert len(one & other) == 2 + 2 + 1  # two words, the stems "bad" and "her", a bigram
+    ids.most = 2
+    assert set(toxicity.features("badness here now", ids, 20).tolist()) == one
+
+
+def test_held_out_toxic_texts_of_the_tables_are_caught(spark):
+    """The query on the driver's own tables: what counts is predicted, on rows it did not learn from."""
+    from polyglint.llm.queries import op5_toxicity
+
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        return
+    labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic")
+    n, caught, clean, hit = (
+        op5_toxicity(spark, where).where("held_out").join(labels, "doc_id")
+        .agg(F.sum("toxic"), F.sum(F.col("toxic") * F.col("predicted")), F.sum(1 - F.col("toxic")), F.sum((1 - F.col("toxic")) * F.col("predicted"))).first()
+    )
+    assert caught >= 0.75 * n and hit <= 0.01 * clean
+
+
 def test_toxicity_of_odd_tables(spark):
     docs, labels = labelled(spark, 40)
     assert toxicity.toxicity(documents(spark, []), labels, F.lit(True)).count() == 0
