@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 import xxhash
@@ -102,6 +105,12 @@ def test_empty_null_and_repeated(spark):
 
 
 def test_components_of_a_chain_a_star_and_loops(spark):
-    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(5, 5), (8, 7)]
+    ids = list(range(1000, 3000))
+    random.Random(1).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(500, i) for i in range(450, 500)]
+    edges += [(5, 5), (8, 7), (None, 3), (4, None), (8, 7)]
+    at = time.monotonic()
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}}
+    assert time.monotonic() - at < 60
+    assert got == {**{i: 1000 for i in ids}, **{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}, **{i: 450 for i in range(450, 501)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
