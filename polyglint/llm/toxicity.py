@@ -12,23 +12,22 @@ that grows with it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, columns_of, rows, strings
 
-WORD = regex.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")
 #: Letters that stems of a word keep.
 STEMS = (3, 4, 5, 6, 7)
-_K0 = 0x9E3779B97F4A7C15
-_K = tuple(np.uint64(x) for x in (_K0, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 @dataclass(frozen=True)
@@ -48,44 +47,77 @@ class Settings:
 
 
 class Words(dict):
-    """Word -> row of `hashed`: the word's hash, its unigram and those of its stems (for stems no shorter
-    than the word, its own unigram again). Forgets all when it grows beyond its bound."""
+    """Word -> row of `hashed` (its hash), `own` (its unigram and those of its stems; for stems no
+    shorter than the word, its own unigram again) and `active` (whether one of these is in `live`).
+    Forgets all when it grows beyond its bound."""
 
     most = 400_000
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int, live: np.ndarray | None = None) -> None:
         super().__init__()
-        self.hashed = np.zeros((1024, 2 + len(STEMS)), dtype=np.uint64)
+        self.bits, self.live = bits, np.zeros(1 << bits, bool) if live is None else live
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list = []
+        self.hashed, self.own, self.active = np.empty(0, np.uint64), np.empty((0, 1 + len(STEMS)), np.int32), np.empty(0, bool)
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.hashed):
-            self.hashed = np.concatenate([self.hashed, np.zeros_like(self.hashed)])
-        own = zlib.crc32(word.encode())
-        stems = [(zlib.crc32(word[:k].encode()), 10 + k) if k < len(word) else (own, 1) for k in STEMS]
-        self.hashed[at] = [own, *((n * _K0 + kind) % 2**64 for n, kind in ((own, 1), *stems))]
-        self[word] = at
+        hashed, n, whole = zlib.crc32, len(word), word.encode()
+        if len(whole) == n:
+            stems = [hashed(whole[:k]) if k < n else -1 for k in STEMS]
+        else:
+            stems = [hashed(word[:k].encode()) if k < n else -1 for k in STEMS]
+        self.fresh.append([hashed(whole), *stems])
+        self[word] = at = len(self)
         return at
 
     def rows_of(self, words: list[str]) -> np.ndarray:
         if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+            self.forget()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.fresh:
+            raw = np.array(self.fresh, dtype=np.int64)
+            kind = np.where(raw < 0, 1, np.array([1, *(10 + k for k in STEMS)]))
+            slots = _slot(np.where(raw < 0, raw[:, :1], raw).astype(np.uint64) * _K[0] + kind.astype(np.uint64), self.bits)
+            self.hashed = np.concatenate([self.hashed, raw[:, 0].astype(np.uint64)])
+            self.own = np.concatenate([self.own, slots])
+            self.active = np.concatenate([self.active, self.live[slots].any(axis=1)])
+            self.fresh = []
+        return at
+
+
+def _slot(mixed: np.ndarray, bits: int) -> np.ndarray:
+    return ((mixed ^ mixed >> np.uint64(29)) * _K[3] >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def features(text: str, ids: Words, bits: int) -> np.ndarray:
+def _grams(w: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Slots of the bigrams, skip-grams and trigrams that begin at each word."""
+    two, skip, three = w[:-1] * _K[1] ^ w[1:] * _K[2], w[:-2] * _K[1] ^ w[2:] * _K[2], w[:-2] * _K[1] ^ w[1:-1] * _K[2] ^ w[2:] * _K[3]
+    return [_slot(x * _K[0] + np.uint64(k), bits) for k, x in ((2, two), (3, skip), (4, three))]
+
+
+def features(text: str, ids: Words) -> np.ndarray:
     """Sorted distinct slots of a text."""
     at = ids.rows_of(WORD.findall(text.lower()))
-    w = ids.hashed[at, 0]
-    parts = [ids.hashed[np.unique(at), 1:].ravel()]
-    if len(w) > 1:
-        parts.append((w[:-1] * _K[1] ^ w[1:] * _K[2]) * _K[0] + np.uint64(2))
-    if len(w) > 2:
-        parts.append((w[:-2] * _K[1] ^ w[2:] * _K[2]) * _K[0] + np.uint64(3))
-        parts.append((w[:-2] * _K[1] ^ w[1:-1] * _K[2] ^ w[2:] * _K[3]) * _K[0] + np.uint64(4))
-    mixed = np.concatenate(parts)
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique((mixed * _K[3]) >> np.uint64(64 - bits)).astype(np.int32)
+    return np.unique(np.concatenate([ids.own[np.unique(at)].ravel(), *_grams(ids.hashed[at], ids.bits)]))
+
+
+def sums(texts: list[str], ids: Words, weights: np.ndarray) -> np.ndarray:
+    """For each text the sum of the weights of its features (ids.live: those that have one). Only
+    these are told apart, for they are few."""
+    found = [WORD.findall(t.lower()) for t in texts]
+    n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    at, doc = ids.rows_of([w for words in found for w in words]), np.repeat(np.arange(len(found)), n)
+    k = np.flatnonzero(ids.active[at])
+    pairs = [(np.repeat(doc[k], ids.own.shape[1]), ids.own[at[k]].ravel())]
+    for slots in _grams(ids.hashed[at], ids.bits):
+        k = np.flatnonzero(ids.live[slots])
+        k = k[doc[k] == doc[k + len(doc) - len(slots)]]  # not across texts
+        pairs.append((doc[k], slots[k]))
+    pair = np.unique(np.concatenate([d * (1 << ids.bits) + x for d, x in pairs]))
+    return np.bincount(pair >> ids.bits, weights=weights[pair & ((1 << ids.bits) - 1)], minlength=len(texts))
 
 
 def ftrl(values: np.ndarray, ends: np.ndarray, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
@@ -120,9 +152,9 @@ def fit(labelled: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, float
     schema = pa.schema([("label", pa.int32()), ("slots", pa.list_(pa.int32()))])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Words()
+        ids = Words(bits)
         for batch in (x for b in batches for x in by_size(b, 1)):
-            yield rows(schema, label=batch.column(0).cast(pa.int32()), slots=[features(t, ids, bits) for t in strings(batch.column(1))])
+            yield rows(schema, label=batch.column(0).cast(pa.int32()), slots=[features(t, ids) for t in strings(batch.column(1))])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, size, values = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
@@ -158,11 +190,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, weights, bias = sent.value
-        dense, ids = np.zeros(1 << s.bits), Words()
+        dense = np.zeros(1 << s.bits)
         dense[slots] = weights
+        ids = Words(s.bits, dense != 0)
         for batch in (x for b in batches for x in by_size(b, at)):
-            sums = np.fromiter((dense[features(t, ids, s.bits)].sum() for t in strings(batch.column(at))), dtype=float, count=batch.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30)))
+            found = sums(strings(batch.column(at)), ids, dense)
+            p = 1 / (1 + np.exp(-np.clip(found + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     schema = StructType(list(picked.schema)).add("score", DoubleType()).add("predicted", IntegerType())

@@ -88,12 +88,22 @@ def test_ftrl_is_its_definition_coordinate_by_coordinate():
 
 
 def test_features_are_distinct_grams_skip_grams_and_stems():
-    ids = toxicity.Words()
-    one, other = (set(toxicity.features(t, ids, 20).tolist()) for t in ("badness here now", "badly here now"))
-    assert len(one) == 3 + (4 + 1) + 2 + 1 + 1 and len(toxicity.features("", ids, 20)) == 0  # words, stems, bigrams, a skip-gram, a trigram
+    ids = toxicity.Words(20)
+    one, other = (set(toxicity.features(t, ids).tolist()) for t in ("badness here now", "badly here now"))
+    assert len(one) == 3 + (4 + 1) + 2 + 1 + 1 and len(toxicity.features("", ids)) == 0  # words, stems, bigrams, a skip-gram, a trigram
     assert len(one & other) == 2 + 2 + 1  # two words, the stems "bad" and "her", a bigram
     ids.most = 2
-    assert set(toxicity.features("badness here now", ids, 20).tolist()) == one
+    assert set(toxicity.features("badness here now", ids).tolist()) == one
+
+
+def test_sums_are_those_of_the_features():
+    r = np.random.default_rng(2)
+    weights = np.where(r.random(1 << 12) < 0.2, r.normal(size=1 << 12), 0.0)
+    ids = toxicity.Words(12, weights != 0)
+    many = [t or "" for t in texts()] + ["one two", "a b a b a b", ""]
+    got = toxicity.sums(many, ids, weights)
+    assert np.allclose(got, [weights[toxicity.features(t, ids)].sum() for t in many])
+    assert len(toxicity.sums([], ids, weights)) == 0 and toxicity.sums(["", ""], ids, weights).tolist() == [0, 0]
 
 
 def test_held_out_toxic_texts_of_the_tables_are_caught(spark):
