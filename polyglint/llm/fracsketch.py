@@ -58,43 +58,52 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+#: Most ranges of ids; beyond rows_each times as many rows, ranges grow, and are sorted on disk where need be.
+RANGES = 4096
+_EACH = 64
+
+
+def _range_of(bounds: list[int]) -> Column:
+    """Number of the range that doc_id falls into, by two steps of up to _EACH bounds each."""
+    if not bounds:
+        return F.lit(0)
+    groups = [bounds[i : i + _EACH] for i in range(0, len(bounds), _EACH)]
+    upto = lambda array: F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
+    group = upto(F.array(*(F.lit(g[0]).cast("long") for g in groups)))
+    inner = F.array(*(F.array(*(F.lit(x).cast("long") for x in g)) for g in groups))
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * _EACH + upto(F.get(inner, group - 1)))
+
+
 def followed(docs: DataFrame, columns: list[str], rows_each: int = 4000) -> DataFrame:
     """docs with next_<column>: the values of the row that follows by ascending doc_id (the first
     one's after the last).
 
-    Ids are cut into equal ranges of about rows_each rows; only the first id of each range is known
-    to all, and its row is also sent to the range before it, so one shuffle brings each row its
-    neighbour and no task sees more than its range. Rows of one id follow each other in the order of
-    the columns.
+    Ids are cut at their quantiles into ranges of about rows_each rows (at most RANGES of them, so
+    bounds and first ids are few); the row of each range's first id is also sent to the range before
+    it, so one shuffle brings each row its neighbour and no task sees more than its range. Rows of
+    one id follow each other in the order of the columns.
     """
-    ids = docs.select("doc_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    low, high, n = ids["low"] or 0, ids["high"] or 0, ids["n"]
-    step = max(1, -(-(high - low + 1) * rows_each // max(n, 1)))
-    span = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(step)).cast("long")
-    first = docs.select("doc_id").groupBy(span.alias("__span")).agg(F.min("doc_id").alias("__first"))
-    near = first.withColumn("__shard", F.floor(F.col("__span") / 65536))
-    by_shard = _previous(near)
-    marks = F.broadcast(by_shard.select("__first", "__before"))
-    spread = docs.withColumn("__span", span).join(marks, F.col("doc_id") == F.col("__first"), "left")
-    sent = spread.withColumn("__to", F.explode(F.when(F.col("__before").isNotNull(), F.array(F.struct(F.col("__span").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("__before").alias("at"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("__span").alias("at"), F.lit(False).alias("extra"))))))
     from pyspark.sql import Window
 
+    n = docs.select("doc_id").count()
+    k = min(RANGES, -(-n // rows_each))
+    bounds: list[int] = []
+    if k > 1:
+        found = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 20 * k)).alias("q")).first()["q"]
+        bounds = sorted(set(found))
+    span = _range_of(bounds)
+    first = docs.select("doc_id", span.alias("__span")).groupBy("__span").agg(F.min("doc_id").alias("__first"))
+    all_ = Window.partitionBy(F.lit(0))  # over one row a range
+    before = F.coalesce(F.lag("__span").over(all_.orderBy("__span")), F.max("__span").over(all_))
+    marks = F.broadcast(first.select("__first", before.alias("__before")))
+    spread = docs.withColumn("__span", span).join(marks, F.col("doc_id") == F.col("__first"), "left")
+    here, there = F.struct(F.col("__span").alias("at"), F.lit(False).alias("extra")), F.struct(F.col("__before").alias("at"), F.lit(True).alias("extra"))
+    sent = spread.withColumn("__to", F.explode(F.when(F.col("__before").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
     w = Window.partitionBy("__to.at").orderBy("__to.extra", "doc_id", *[c for c in columns if c != "doc_id"])
     kept = docs.columns
     return sent.select(*kept, "__to", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not __to.extra").drop("__to")
 
 
-def _previous(spans: DataFrame) -> DataFrame:
-    """For every range that has rows, the range with rows before it; the last one for the first."""
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("__shard").orderBy("__span")
-    shards = spans.groupBy("__shard").agg(F.max("__span").alias("__last"))
-    around = Window.partitionBy(F.lit(0)).orderBy("__shard")
-    ends = shards.select("__shard", F.coalesce(F.lag("__last").over(around), F.max("__last").over(Window.partitionBy(F.lit(0)))).alias("__end"))
-    return spans.withColumn("__before", F.lag("__span").over(inside)).join(F.broadcast(ends), "__shard").withColumn("__before", F.coalesce("__before", "__end"))
-
-
 def fingerprints(docs: DataFrame, width: int = 5, scale: int = 8) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next and n_hashes.

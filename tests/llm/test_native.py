@@ -58,6 +58,21 @@ def test_neighbours_over_many_ranges_ties_and_wrap(spark):
     assert sorted((r.doc_id, r.next_doc_id) for r in got) == sorted(zip(ids, ids[1:] + ids[:1]))
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5], [2**62, *range(3000)], [0, *(10**15 + 7 * i for i in range(3000))], [7] * 500 + list(range(400)), [3], list(range(50))])
+def test_neighbours_of_unevenly_spread_ids(spark, ids):
+    docs = documents(spark, [(x, f"t{k:05d}", "en", "s", 0) for k, x in enumerate(ids)]).select("doc_id", "text")
+    got = [tuple(r) for r in fracsketch.followed(docs, ["doc_id", "text"], rows_each=30).select("doc_id", "text", "next_doc_id", "next_text").collect()]
+    rows = sorted((x, f"t{k:05d}") for k, x in enumerate(ids))
+    assert sorted(got) == [(*x, *y) for x, y in zip(rows, rows[1:] + rows[:1])]
+
+
+def test_one_far_id_does_not_fill_one_range(spark):
+    docs = documents(spark, [(x, "t", "en", "s", 0) for x in [2**62, *range(20_000)]]).select("doc_id", "text")
+    plan = fracsketch.followed(docs, ["text"], rows_each=500)
+    sizes = [r["n"] for r in plan.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20_001 and max(sizes) < 15_000
+
+
 def test_fingerprints_of_odd_tables_and_no_python(spark):
     assert fracsketch.fingerprints(documents(spark, [])).count() == 0
     docs = documents(spark, [(7, "only one", "", "", 0), (None, "left out", "", "", 0)])
