@@ -14,17 +14,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, saved
+from .common import by_size, encoded, partitions, rows, saved
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bits of one filter by default: 2**27 bits are 16 MB, the size that is broadcast.
-BITS = 27
+#: Least and most log2 of the bits of one filter: at most 2**29, so 64 MB are broadcast.
+BITS = (23, 29)
 HASHES = 3
 SEGMENT = 1 << 16  # bytes of a filter that are merged together
 #: Most bytes of confirmed keys that are broadcast; beyond it, they are joined by document.
@@ -72,48 +71,64 @@ def _keys(text: bytes, least: int) -> tuple[list[bytes], list[bytes]]:
     return lines, keys
 
 
-def twice_seen(docs: DataFrame, least: int, bits: int, tasks: int) -> np.ndarray:
-    """The twice-seen filter of all line keys (each counted once a document). tasks bounds the
-    fields to be merged, so the shuffle has at most tasks times two filters, however many splits."""
+def fitting_bits(docs: DataFrame) -> int:
+    """log2 of a filter's bits: 16 for each line of the texts, within BITS. More lines fill the
+    filters, which costs shuffle (more lines are suspected) and never changes the result."""
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = docs.agg(F.coalesce(F.sum(breaks), F.lit(0))).first()[0]
+    return min(max(int(16 * lines - 1).bit_length(), BITS[0]), BITS[1])
+
+
+def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The twice-seen filter of all line keys (each counted once a document). Every task gives the
+    segments of its fields that have bits, compressed, so what is shuffled follows the lines; each
+    segment's pieces are merged one after another as they arrive."""
     segments = (1 << (bits - 3)) // SEGMENT or 1
+    size = (1 << (bits - 3)) // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, schema = Twice(bits), pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
         digest, some = xxhash.xxh64_intdigest, False
-        for batch in batches:
-            found = [digest(k) for t in batch.column(0).cast(pa.binary()).to_pylist() for k in set(_keys(t or b"", least)[1]) if k]
+        for batch in (x for b in batches for x in by_size(b, 0)):
+            found = [digest(k) for t in encoded(batch.column(0)) for k in set(_keys(t, least)[1]) if k]
             if found:
                 some = True
                 seen.add(np.array(found, dtype=np.uint64))
         if some:
-            size = len(seen.once) // segments
             for s in range(segments):
                 once, twice = seen.once[s * size : (s + 1) * size], seen.twice[s * size : (s + 1) * size]
                 if once.any():
                     yield rows(schema, segment=[s], once=[zlib.compress(once.tobytes(), 1)], twice=[zlib.compress(twice.tobytes(), 1)])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = twice = 0
-        for a, b in zip(pdf["once"], pdf["twice"]):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            twice = twice | b | (once & a)
-            once = once | a
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "twice": [zlib.compress(np.asarray(twice, np.uint8).tobytes(), 1)]})
-
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "segment int, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInPandas(merge, "segment int, twice binary")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("segment", pa.int32()), ("twice", pa.binary())])
+        last, once, twice = None, np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for batch in batches:
+            for segment, *pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment != last:
+                    if last is not None:
+                        yield rows(schema, segment=[last], twice=[zlib.compress(twice.tobytes(), 1)])
+                    last, once, twice = segment, np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in pieces)
+                twice |= b | once & a
+                once |= a
+        if last is not None:
+            yield rows(schema, segment=[last], twice=[zlib.compress(twice.tobytes(), 1)])
+
+    parts = docs.select("text").mapInArrow(run, "segment int, once binary, twice binary")
+    dealt = parts.repartition(min(segments, partitions(docs.sparkSession)), "segment").sortWithinPartitions("segment")
     field = np.zeros(1 << (bits - 3), np.uint8)
-    size = len(field) // segments
-    for row in merged.toLocalIterator():  # at most one filter in all
+    for row in dealt.mapInArrow(merge, "segment int, twice binary").toLocalIterator():  # at most one filter in all
         field[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
     return field
 
 
-def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: int = BITS, tasks: int = 48, passage: int | None = None) -> DataFrame:
+def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: int | None = None, passage: int | None = None) -> DataFrame:
     """docs (text) -> (key, n_documents, first): line keys of at least `least` code points that are
     found in at least `documents` rows (in two, for lines of `passage` words or more), and (where
     doc_id is there) the smallest doc_id with it."""
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least, bits, tasks))
+    bits = bits or fitting_bits(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least, bits))
     schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("enough", pa.int64())])
 
     def given(count: dict[bytes, list]) -> pa.RecordBatch:
@@ -123,9 +138,9 @@ def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: in
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, digest = sent.value, xxhash.xxh64_intdigest
         count: dict[bytes, list] = {}
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                keys = [k for k in set(_keys(text or b"", least)[1]) if k]
+        for batch in (x for b in batches for x in by_size(b, 1)):
+            for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
+                keys = [k for k in set(_keys(text, least)[1]) if k]
                 if not keys:
                     continue
                 slots = _slots(np.array([digest(k) for k in keys], dtype=np.uint64), bits)
@@ -145,14 +160,15 @@ def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: in
     return found.where("n_documents >= enough").drop("enough")
 
 
-def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first: bool = False, bits: int = BITS, broadcast_bytes: int = BROADCAST_BYTES, passage: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first: bool = False, bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, passage: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with all their columns, text without the lines whose key (ASCII white
     space stripped, A-Z lower-cased, at least `least` code points) occurs in at least `documents`
     rows, and n_lines, n_dropped. Lines of `passage` words or more count from two rows on. keep_first leaves such lines in the document with the smallest id.
 
     A null or empty text is one empty line, which is never dropped, and comes back as ''. A text all
     of whose lines go becomes ''. Each row counts as one document, whatever its id. Columns of docs
-    named n_lines or n_dropped give way.
+    named n_lines or n_dropped give way. Texts are worked on in slices of about a MB; a longer text,
+    or one of very many lines, alone.
     """
     from pyspark.sql.types import LongType, StructType
 
@@ -164,7 +180,7 @@ def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first:
     at, id_at = kept.index("text"), kept.index("doc_id")
 
     def apply(batches: Iterator[pa.RecordBatch], drops) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in by_size(b, at)):
             texts, n_lines, n_dropped = [], [], []
             for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), drops(batch)):
                 lines, keys = _keys(text or b"", least)

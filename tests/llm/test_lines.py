@@ -53,7 +53,7 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
 
 def test_merged_filters_hold_all_that_was_seen_twice(spark):
     docs = documents(spark, [(i, f"line {i % 50}\nalone {i}", "", "", 0) for i in range(100)]).repartition(7)
-    field = linededup.twice_seen(docs, 1, 16, 7)
+    field = linededup.twice_seen(docs, 1, 16)
     import xxhash
 
     hashes = np.array([xxhash.xxh64_intdigest(f"line {i}".encode()) for i in range(50)], dtype=np.uint64)
@@ -65,3 +65,9 @@ def test_merged_filters_hold_all_that_was_seen_twice(spark):
 def test_kept_text_of_the_query(spark):
     got = linededup.line_dedup(documents(spark, [(1, None, "", "", 0)])).collect()[0]
     assert (got.n_lines, got.n_dropped, hashlib.sha256(got.text.encode()).hexdigest()) == (1, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_filters_grow_with_the_lines(spark):
+    docs = documents(spark, [(1, "a\nb\n", "", "", 0), (2, None, "", "", 0), (3, "\n" * 4_000_000, "", "", 0)])
+    assert linededup.fitting_bits(docs.where("doc_id < 3")) == 23 and linededup.fitting_bits(docs) == 26
+    assert linededup.fitting_bits(docs.limit(0)) == 23
