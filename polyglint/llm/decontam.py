@@ -7,15 +7,15 @@ are verified against the items' words. Hit spans, or whole documents, can then b
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, saved
 
-#: Most distinct windows that are sent to every task as a set; beyond it, hashes are joined.
+#: Most distinct windows that are sent to every task as a set; beyond it, as a bit field.
 SET_ROWS = 50_000
+#: Most bits of that field, as a power of two: 3 MB.
+FIELD_BITS = 24
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words and what lies between them, before lower-casing.
 PIECES = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
@@ -51,12 +51,40 @@ def _scanned(docs: DataFrame, found: DataFrame, set_rows: int) -> DataFrame:
             at = f"filter(sequence(1, size(w) - {n - 1}), i -> xxhash64(slice(w, i, {n})) in ({known}))"
             parts.append(f"if(size(w) >= {n}, transform({at}, i -> named_struct('pos', i - 1, 'length', {n}, 'window', array_join(slice(w, i, {n}), ' '))), {empty})")
         return base.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.expr(f"concat({', '.join(parts)})").alias("met"))
-    # Too many windows to send: the hashes of all places meet those of the windows in a join.
-    each = [base.where(F.size("w") >= n).select("row", F.lit(n).alias("length"), F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> xxhash64(slice(w, i, {n})))")).alias("pos", "hash")) for n in lengths]
-    there = reduce(DataFrame.unionByName, each).join(found.select("hash", "length").distinct(), ["hash", "length"], "left_semi")
-    places = there.select("row", "pos", "length").distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "length")).alias("places"))
-    met = F.expr(f"if(places is null, {empty}, transform(places, p -> named_struct('pos', p.pos, 'length', p.length, 'window', array_join(slice(w, p.pos + 1, p.length), ' '))))")
-    return base.join(places, "row", "left").select("doc_id", "row", F.size("w").cast("long").alias("n_words"), met.alias("met"))
+    # Too many windows for a list: a bit field says where one may be. Only such places move, and are verified.
+    known = _bit_field(found)
+    window = lambda i, n: F.slice("w", i, F.lit(n))
+
+    def places(n: int) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: known(F.xxhash64(window(i, n))))
+        place = F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("length"), F.array_join(window(i, n), " ").alias("window")))
+        return F.when(F.size("w") >= n, place).otherwise(F.expr(empty))
+
+    met = [places(n) for n in lengths]
+    return base.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.concat(*met).alias("met"))
+
+
+def _bit_field(found: DataFrame):
+    """A test of hashes against two bits each in a field of 16 bits a window (2**FIELD_BITS at most);
+    a fuller field lets more places through, which are verified all the same. Its bytes hold six
+    bits each, above "0", so that they are read as characters."""
+    size = 1 << min(max(int(16 * found.count()).bit_length(), 10), FIELD_BITS)
+
+    def bits(of: Column) -> list[Column]:
+        return [F.pmod(of, F.lit(size)), F.pmod(F.shiftrightunsigned(of, 32), F.lit(size))]
+
+    each = found.select(F.explode(F.array(*bits(F.col("hash")))).alias("bit"))
+    sixes = each.groupBy(F.floor(F.col("bit") / 6).alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 6 as int)))").alias("v"))
+    field = bytearray(b"0" * (size // 6 + 1))
+    for r in sixes.toLocalIterator():  # at most one row a byte
+        field[r["at"]] = 48 + r["v"]
+    there = F.lit(bytes(field))
+
+    def test(of: Column) -> Column:
+        read = [F.getbit(F.ascii(F.substring(there, F.floor(x / 6).cast("int") + 1, F.lit(1)).cast("string")) - 48, F.pmod(x, F.lit(6)).cast("int")) == 1 for x in bits(of)]
+        return read[0] & read[1]
+
+    return test
 
 
 def _confirmed(scanned: DataFrame, found: DataFrame, set_rows: int) -> DataFrame:
@@ -77,6 +105,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, set_rows: int =
 
     An item of fewer than size words is one window, one without words none. Null texts have no words.
     One row for each row of docs, repeated ones too; without benchmark windows nothing is covered.
+    Very long texts are one row's arrays of words and windows.
     """
     found = windows(benchmark, size)
     scanned = saved(_scanned(docs, found, set_rows))
