@@ -203,3 +203,52 @@ def scenario_sound(vocals: Column, lyricist: Column) -> Column:
 
 def numeric_text_key(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
+
+
+def json_text(json: Column, path: str) -> Column:
+    """The text at a path of a JSON value, '' where there is none or something else."""
+    at = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.try_variant_get(at, "$", "string")).otherwise("")
+
+
+def json_flag(json: Column, path: str) -> Column:
+    """The truth value at a path of a JSON value, null where there is none or something else."""
+    at = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.when(F.schema_of_variant(at) == "BOOLEAN", F.try_variant_get(at, "$", "boolean"))
+
+
+def rebuilt(parts: Column, whole: Column) -> Column:
+    """Whether parts make up a text without cutting any of its graphemes."""
+    return F.flatten(F.transform(parts, graphemes)) == graphemes(whole)
+
+
+def valid_reading(c: Column) -> Column:
+    """A reading of kana alone (prolonged sounds and middle dots too)."""
+    return c.rlike(r"^[\p{IsHiragana}\p{IsKatakana}ー・]+$")
+
+
+def has_han(c: Column) -> Column:
+    return c.rlike(r"\p{IsHan}")
+
+
+def wiki_text(c: Column) -> Column:
+    """Text without comments, references, tags, emphasis marks and links (their label stays)."""
+    for pattern, left in ((r"(?s)<!--.*?-->", ""), (r"(?s)<ref[^>/]*>.*?</ref>", ""), (r"<[^>]*>", ""), (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"), (r"'{2,}", "")):
+        c = F.regexp_replace(c, pattern, left)
+    return trimmed(c)
+
+
+def envelope_digest(lines: Column, version: str) -> Column:
+    """SHA-256 of lines in their order under a versioned heading."""
+    return F.sha2(F.concat_ws("\n", F.lit(version), lines).cast("binary"), 256)
+
+
+def untranslated(text: Column, source: Column) -> Column:
+    """No text, or one that neither a person nor an official source stands for."""
+    return (F.coalesce(text, F.lit("")) == "") | F.coalesce(source, F.lit("unknown")).isin("unknown", "llm")
+
+
+def title_variants(title: Column) -> Column:
+    """Ways to search for a title: as it is, without a trailing parenthesis, and that one's content."""
+    inner = F.regexp_extract(title, r"\(([^()]*)\)$", 1)
+    return F.array_distinct(F.filter(F.array(trimmed(title), trimmed(F.regexp_replace(title, r"\s*\([^()]*\)$", "")), trimmed(inner)), lambda x: x != ""))
