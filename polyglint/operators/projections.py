@@ -79,3 +79,32 @@ def narrowed(rows: DataFrame, **wanted) -> DataFrame:
         if value is not None:
             rows = rows.where(F.col(column).isin(list(value)) if isinstance(value, (list, tuple)) else F.col(column) == value)
     return rows
+
+
+def event_json(lines: DataFrame, event: str, episode: str, position: str, key: str, text: str, out: str = "body") -> DataFrame:
+    """One JSON document for each event: episodes, and in each its texts by key, all in the order of
+    their first position (not of their names). Texts are written as they are, but for what JSON escapes."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)
+    name = lambda c: F.regexp_replace(quoted(F.coalesce(c, F.lit(""))), r"\]$", "")
+    one = lines.groupBy(event, episode, key).agg(F.min(position).alias("__p"), F.max_by(text, position).alias("__t"))
+    member = F.concat(name(F.col(key)), F.lit(":"), name(F.col("__t")))
+    joined = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x["__m"]), ",")
+    by_episode = one.withColumn("__m", member).groupBy(event, episode).agg(F.min("__p").alias("__first"), joined("__p", "__m").alias("__body"))
+    of_episode = F.concat(name(F.col(episode)), F.lit(":{"), F.col("__body"), F.lit("}"))
+    return by_episode.withColumn("__m", of_episode).groupBy(event).agg(F.concat(F.lit("{"), joined("__first", "__m"), F.lit("}")).alias(out))
+
+
+def projection_matrix(entries: DataFrame, locales: dict[str, DataFrame], keys: Sequence[str], key: str) -> DataFrame:
+    """(path, body) of all published documents: flat and full for every group, and flat for every
+    locale's view of the entries."""
+    at = lambda *parts: F.concat_ws("/", *parts)
+    flat = flat_json(entries, keys, key, "cn_text").select(at(F.lit("flat"), *keys).alias("path"), "body")
+    full = full_json(entries, keys, key, "cn_text", "source", "ids").select(at(F.lit("full"), *keys).alias("path"), "body")
+    others = [flat_json(df, keys, key, "text").select(at(F.lit(locale), *keys).alias("path"), "body") for locale, df in locales.items()]
+    return reduce(DataFrame.unionByName, [flat, full, *others])
+
+
+def rebuilt(documents: DataFrame, fresh: DataFrame, changed: DataFrame, key: str = "path") -> DataFrame:
+    """Published documents after the changed paths were built anew; a path that fresh lacks is gone."""
+    kept = documents.join(changed.select(key), key, "left_anti")
+    return kept.unionByName(fresh.join(changed.select(key), key, "left_semi"))

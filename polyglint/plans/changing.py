@@ -121,6 +121,7 @@ d AS (SELECT o_orderkey, o_orderkey % 4 AS d FROM orders WHERE o_orderkey % 5 <>
 j AS (SELECT o_orderkey, p, r, CASE WHEN r IS NULL THEN 'kept' WHEN r = -1 THEN CASE WHEN p IS NULL THEN 'not_found' ELSE 'unpublished' END WHEN d IS NULL THEN 'not_found' WHEN d <> r THEN 'conflict' ELSE 'published' END AS outcome FROM p FULL JOIN r USING (o_orderkey) LEFT JOIN d USING (o_orderkey))
 SELECT o_orderkey, CASE outcome WHEN 'published' THEN r WHEN 'unpublished' THEN NULL ELSE p END AS revision, outcome FROM j""")
 def m31_publish(t: Tables) -> DataFrame:
+    """M17."""
     k = F.col("o_orderkey")
     documents = t.orders.where(k % 5 != 0).select(k, (k % 4).alias("revision"))
     requests = t.orders.where(k % 2 == 0).select(k, F.when(k % 7 == 0, -1).otherwise(k % 3).alias("revision"))
@@ -141,6 +142,7 @@ def f20_integers(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86400 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders")
 def f25_rfc3339(t: Tables) -> DataFrame:
+    """F29."""
     return t.orders.select("o_orderkey", scalars.rfc3339(F.col("o_orderkey") * 86400).alias("stamp"))
 
 
@@ -151,11 +153,13 @@ def f32_backoff(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, sha256(p_name) AS hash, sha256(p_brand || chr(0) || p_type) AS job, CASE WHEN length(p_name) > 6 THEN substr(p_name, 1, 6) || '…' ELSE p_name END AS short FROM part")
 def f33_texts(t: Tables) -> DataFrame:
+    """F21, F27, F47."""
     return t.part.select("p_partkey", scalars.text_hash(F.col("p_name")).alias("hash"), scalars.job_key(F.col("p_brand"), F.col("p_type")).alias("job"), scalars.shortened(F.col("p_name"), 6).alias("short"))
 
 
 @query("SELECT c_custkey, rtrim(to_base64(encode(c_name)), '=').replace('+', '-').replace('/', '_') AS cursor, c_name AS payload FROM customer")
 def o10_cursor(t: Tables) -> DataFrame:
+    """O4, F46."""
     cursor = scalars.cursor_encoded(F.col("c_name"))
     return t.customer.select("c_custkey", cursor.alias("cursor"), scalars.cursor_decoded(cursor).alias("payload"))
 
@@ -352,11 +356,13 @@ def s25_script_rows(t: Tables) -> DataFrame:
 
 @query("SELECT 'line_part' AS fk, count(*) AS violations FROM lineitem WHERE l_partkey % 5 = 0 UNION ALL SELECT 'order_customer', count(*) FROM orders WHERE o_custkey % 7 = 0")
 def i01_foreign_keys(t: Tables) -> DataFrame:
+    """I14."""
     return integrity.foreign_key_counts({"line_part": (t.lineitem, t.part.where("p_partkey % 5 <> 0"), ["l_partkey"], ["p_partkey"]), "order_customer": (t.orders, t.customer.where("c_custkey % 7 <> 0"), ["o_custkey"], ["c_custkey"])})
 
 
 @query("SELECT o_orderkey, \"check\" FROM (SELECT o_orderkey, unnest(['status', 'price']) AS \"check\", unnest([o_orderstatus IN ('F', 'O'), o_totalprice < 100000]) AS ok FROM orders) WHERE NOT ok")
 def i02_checks(t: Tables) -> DataFrame:
+    """I15."""
     return integrity.check_violations(t.orders, "o_orderkey", {"status": F.col("o_orderstatus").isin("F", "O"), "price": F.col("o_totalprice") < 100000})
 
 
@@ -373,10 +379,12 @@ def i09_records(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, '$.j' AS problem FROM events WHERE json_extract_string(props, '$.j') IS NULL UNION ALL SELECT event_id, '$.k' FROM events WHERE NOT coalesce(regexp_full_match(json_extract_string(props, '$.k'), '-?[0-9]+'), false)")
 def i12_json_shape(t: Tables) -> DataFrame:
+    """I6."""
     return integrity.json_violations(t.events, "event_id", "props", {"$.j": "text", "$.k": "integer"})
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'deleted' ELSE 'updated' END AS problem FROM part WHERE p_partkey % 11 = 0 OR p_partkey % 13 = 0")
 def i14_immutable(t: Tables) -> DataFrame:
+    """I16."""
     new = t.part.where("p_partkey % 11 <> 0").withColumn("p_name", F.when(F.col("p_partkey") % 13 == 0, "x").otherwise(F.col("p_name")))
     return integrity.immutability_violations(t.part, new, "p_partkey", ["p_name", "p_brand"])

@@ -88,6 +88,7 @@ def a12_class_counts(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 def a13_outcome_counters(t: Tables) -> DataFrame:
+    """A25."""
     return stats.outcome_counters(t.orders, "o_orderpriority", "o_orderstatus", ("F", "O", "P")).toDF("o_orderpriority", "f", "o", "p")
 
 
@@ -161,10 +162,12 @@ def a27_framed_revision(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR c_custkey % 9 = 0 AS protected FROM customer")
 def a28_has_any(t: Tables) -> DataFrame:
+    """A29, U4."""
     marked = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return stats.has_any(t.customer.select("c_custkey"), "c_custkey", marked, t.customer.where("c_custkey % 9 = 0"))
 
 
 @query("SELECT event_id, episode, string_agg(text, ' / ' ORDER BY position) AS text FROM lines GROUP BY ALL")
 def a29_ordered_text(t: Tables) -> DataFrame:
+    """A30."""
     return stats.ordered_text(t.lines, ["event_id", "episode"], "position", "text", " / ")

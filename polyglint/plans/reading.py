@@ -115,6 +115,7 @@ def _token(k: Column) -> Column:
 
 @query("SELECT p_partkey, p_partkey % 3 <> 2 AS numeric_version, p_partkey % 4 = 0 AS medley FROM part")
 def f08_title_tokens(t: Tables) -> DataFrame:
+    """F8, P16."""
     k = F.col("p_partkey")
     title = F.when(k % 4 == 0, "Summer [MEDLEY] 2").otherwise("medleys and more")
     return t.part.select(k, catalog.numeric_version(_token(k)).alias("numeric_version"), catalog.is_medley(title).alias("medley"))
@@ -122,6 +123,7 @@ def f08_title_tokens(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_suppkey % 3 <> 2 AS found FROM supplier")
 def f10_identity_field(t: Tables) -> DataFrame:
+    """F9, F10."""
     k = F.col("s_suppkey")
     text = F.concat(F.lit("(lyrics)="), F.when(k % 3 == 0, F.col("s_name")).when(k % 3 == 1, F.concat("s_name", F.lit("さん"))).otherwise(F.concat("s_name", F.lit("x"))), F.lit("; y"))
     text = F.regexp_replace(text, "#", "")
@@ -130,6 +132,7 @@ def f10_identity_field(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name || '-cn' END AS paired, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS safe, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS filled FROM part")
 def f14_pair_texts(t: Tables) -> DataFrame:
+    """F13, F14, F19."""
     k, name = F.col("p_partkey"), F.col("p_name")
     cn = F.when(k % 8 == 0, F.concat(F.lit("　"), name, F.lit(" "))).when(k % 4 == 0, None).otherwise(F.concat(F.lit(" "), name, F.lit("-cn")))
     safe = F.when(k % 3 == 0, " - ").otherwise(F.concat(name, F.lit("　")))
@@ -146,6 +149,7 @@ def f18_vote(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment || chr(31) || CASE WHEN c_custkey % 2 = 0 THEN '?' ELSE c_name END || chr(31) || '?' AS work, split_part(replace(c_name, '#', '_'), '_', 1) AS speaker FROM customer")
 def f24_work_key(t: Tables) -> DataFrame:
+    """F24, F38."""
     name = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name"))
     return t.customer.select("c_custkey", scalars.work_key(F.col("c_mktsegment"), name, F.lit(None).cast("string")).alias("work"), scalars.speaker_of(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("speaker"))
 
@@ -210,6 +214,7 @@ def m06_batch_problems(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'inserted' WHEN o_orderkey % 5 = 0 THEN 'archived' ELSE 'kept' END AS outcome FROM orders WHERE o_orderkey % 15 <> 0")
 def m13_reconciled_segments(t: Tables) -> DataFrame:
+    """M15."""
     return merge.reconciled_segments(t.orders.where("o_orderkey % 3 <> 0"), t.orders.where("o_orderkey % 5 <> 0"), "o_orderkey")
 
 
@@ -222,12 +227,14 @@ def m14_promoted(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM customer WHERE c_custkey % 7 <> 0 OR (c_custkey % 3 <> 0 AND c_custkey % 2 = 0)")
 def m15_guarded_replace(t: Tables) -> DataFrame:
+    """M11."""
     version = lambda name: t.customer.select("c_custkey", F.lit(name).alias("version"))
     return merge.guarded_replace(version("old").where("c_custkey % 7 <> 0"), version("new").where("c_custkey % 2 = 0"), t.customer.where("c_custkey % 3 = 0"), "c_custkey")
 
 
 @query("SELECT c_custkey, 'm' AS text, CASE WHEN c_custkey % 7 = 0 THEN 'not_found' WHEN c_custkey % 2 = 0 THEN 'filled' WHEN c_custkey % 3 = 0 THEN 'source_changed' ELSE 'applied' END AS outcome FROM customer")
 def m16_still_open(t: Tables) -> DataFrame:
+    """M13."""
     k = F.col("c_custkey")
     targets = t.customer.where(k % 7 != 0).select(k, F.when(k % 2 == 0, "there").otherwise("").alias("text"), F.col("c_name").alias("source_text"))
     results = t.customer.select(k, F.lit("m").alias("text"), F.when(k % 3 == 0, "then").otherwise(F.col("c_name")).alias("source_text"))
@@ -236,6 +243,7 @@ def m16_still_open(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 'gone' WHEN c_custkey % 3 = 0 THEN 'changed' WHEN c_mktsegment = 'BUILDING' THEN 'retry' ELSE 'kept' END AS outcome FROM customer")
 def m24_resumed(t: Tables) -> DataFrame:
+    """M31."""
     k = F.col("c_custkey")
     now = t.customer.where(k % 7 != 0).select(k, F.when(k % 3 == 0, "x").otherwise(F.col("c_name")).alias("c_name"))
     return merge.resumed(t.customer.select(k, "c_name", "c_mktsegment"), now, "c_custkey", ["c_name"], "c_mktsegment", ["BUILDING"])
@@ -243,6 +251,7 @@ def m24_resumed(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_partkey AS evidence, position, position % 3 = 0 AS repaired FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS position FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))")
 def m25_repaired_links(t: Tables) -> DataFrame:
+    """M30."""
     artifacts = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("refs"))
     links = artifacts.select("l_orderkey", F.posexplode("refs").alias("position", "evidence")).where("position % 3 <> 0")
     return merge.repaired_links(artifacts, links, "l_orderkey", "refs")
@@ -250,6 +259,7 @@ def m25_repaired_links(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS n FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 4 = 0 OR c_custkey % 3 = 0)")
 def m26_exclusion_problems(t: Tables) -> DataFrame:
+    """M29."""
     rows = t.customer.select("c_custkey", "c_name")
     there = rows.where("c_custkey % 4 = 0 or c_custkey % 3 <> 0").unionByName(rows.where("c_custkey % 4 = 0"))
     return merge.exclusion_problems(there, rows.where("c_custkey % 2 = 0"), "c_custkey", "c_name")
@@ -257,23 +267,27 @@ def m26_exclusion_problems(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, c % 5 AS v, side FROM (SELECT s_suppkey, s_suppkey AS c, 'removed' AS side FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, s_suppkey + 1, 'added' FROM supplier WHERE s_suppkey % 4 = 0)")
 def i13_snapshot_differences(t: Tables) -> DataFrame:
+    """I13."""
     k = F.col("s_suppkey")
     return integrity.snapshot_differences(t.supplier.select(k, (k % 5).alias("v")), t.supplier.select(k, F.when(k % 4 == 0, (k + 1) % 5).otherwise(k % 5).alias("v")))
 
 
 @query("SELECT user_id, count(*) AS connections FROM (SELECT user_id, event_type, max_by(event_id % 3 <> 0, event_id) AS joined FROM events GROUP BY ALL) WHERE joined GROUP BY user_id")
 def q13_present(t: Tables) -> DataFrame:
+    """Q19."""
     return jobs.present(t.events, "user_id", "event_type", "event_id", F.col("event_id") % 3 != 0)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS v, c_custkey % 2 <> 0 AS stale FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def q18_cached(t: Tables) -> DataFrame:
+    """Q17."""
     fresh = t.customer.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("v"))
     return jobs.cached(fresh, t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit("old").alias("v")), "c_custkey", "v")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'not_found' WHEN o_orderkey % 5 = 0 THEN 'wrong_authority' WHEN o_orderkey % 4 = 0 THEN 'stale_base' ELSE 'committed' END AS outcome, CASE WHEN o_orderkey % 6 <> 0 THEN 3 + CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0 THEN 1 ELSE 0 END END AS revision FROM orders")
 def q14_checkpointed(t: Tables) -> DataFrame:
+    """Q13."""
     k = F.col("o_orderkey")
     ledger = t.orders.where(k % 6 != 0).select(k, F.lit("a").alias("authority"), F.lit(3).cast("bigint").alias("revision"))
     commits = t.orders.select(k, F.when(k % 5 == 0, "b").otherwise("a").alias("authority"), F.when(k % 4 == 0, 2).otherwise(3).alias("base_revision"))
@@ -282,6 +296,7 @@ def q14_checkpointed(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_id % 5 AS generation, event_id FROM events QUALIFY event_id % 5 = max(event_id % 5) OVER (PARTITION BY user_id)")
 def q17_newest_generation(t: Tables) -> DataFrame:
+    """Q8."""
     return logs.newest_generation(t.events.select("user_id", (F.col("event_id") % 5).alias("generation"), "event_id"), "user_id", "generation")
 
 
@@ -289,6 +304,7 @@ def q17_newest_generation(t: Tables) -> DataFrame:
 c AS (SELECT l_orderkey, count(*) AS n, max(per) AS most, count(DISTINCT l_partkey) AS ids FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS per FROM lineitem WHERE l_linenumber % 2 = 0) GROUP BY 1)
 SELECT o_orderkey AS l_orderkey, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'missing' WHEN n > 2 OR most > 1 THEN 'ambiguous' WHEN ids < n THEN 'error' ELSE 'fixed' END AS class FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
 def g14_classified_targets(t: Tables) -> DataFrame:
+    """G22."""
     found = t.lineitem.where("l_linenumber % 2 = 0").select("l_orderkey", F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("identity"))
     return catalog.classified_targets(found, t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", 2)
 

@@ -33,6 +33,7 @@ def p10_untranslated(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS ids FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey % 20 <> 0)")
 def p15_all_match(t: Tables) -> DataFrame:
+    """G13."""
     aliases = t.lineitem.select("l_orderkey", F.col("l_partkey").cast("string").alias("alias"))
     known = t.part.where("p_partkey % 20 <> 0").select(F.col("p_partkey").cast("string").alias("alias"), F.col("p_partkey").cast("string").alias("id"))
     return catalog.all_resolved(aliases, known, "l_orderkey", "alias").withColumn("ids", F.array_join("ids", ","))
@@ -51,6 +52,7 @@ def p21_ownership(t: Tables) -> DataFrame:
 a AS (SELECT p_partkey, 1 AS c, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS listed FROM part UNION ALL SELECT -1, NULL, 1)
 SELECT p_partkey, c IS NOT NULL AS in_catalog, listed FROM a WHERE c IS NULL OR listed <> 1""")
 def p22_exactly_one(t: Tables) -> DataFrame:
+    """U12."""
     mapped = t.part.where("p_partkey % 2 = 0").select("p_partkey").unionByName(t.spark.range(1).select(F.lit(-1).cast("bigint").alias("p_partkey")))
     return overlay.exactly_one(t.part, mapped, t.part.where("p_partkey % 3 = 0"), "p_partkey")
 
@@ -59,12 +61,14 @@ def p22_exactly_one(t: Tables) -> DataFrame:
 l AS (SELECT o_custkey, o_orderkey * 7 % 100 AS v, lag(o_orderkey * 7 % 100) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
 SELECT o_custkey, coalesce(bool_and(before < v), true) AS rising FROM l GROUP BY o_custkey""")
 def p23_rising(t: Tables) -> DataFrame:
+    """I8."""
     rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") * 7 % 100).alias("v")))).alias("r"))
     return rows.select("o_custkey", overlay.strictly_rising(F.transform("r", lambda x: x["v"])).alias("rising"))
 
 
 @query("SELECT category, field, jp_key, coalesce(o.text, '') AS text, coalesce(o.source, 'unknown') AS source FROM entries e LEFT JOIN overlay o USING (category, field, jp_key)")
 def j01_overlay_left(t: Tables) -> DataFrame:
+    """J1, J4."""
     return overlay.overlaid(t.entries, t.overlay, LOCALE).select(*KEYS, "text", "source")
 
 
@@ -88,6 +92,7 @@ def j04_propagation_pairs(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
 def j06_star_left(t: Tables) -> DataFrame:
+    """J6, J20."""
     base = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     return overlay.star(base, (t.customer.select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")), ["c_custkey"]), (t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])).select("o_orderkey", "c_name", "n_name")
 
@@ -123,6 +128,7 @@ def j24_semi(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)")
 def j25_anti(t: Tables) -> DataFrame:
+    """I2, J26, J27, J28."""
     return integrity.orphans(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), t.part.where("p_partkey % 5 <> 0"), ["l_partkey"], ["p_partkey"])
 
 
@@ -170,11 +176,13 @@ def j39_zip_lines(t: Tables) -> DataFrame:
 s AS (SELECT p_partkey, p_partkey % 4 <> 0 AS ok FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT p_partkey, p_partkey % 10 = 0 AS gone FROM part WHERE p_partkey % 2 = 0)
 SELECT p_partkey, CASE WHEN gone IS NULL THEN 'source_only' WHEN gone THEN 'catalog_excluded' WHEN ok IS NULL OR NOT ok THEN 'unsupported' ELSE 'mapped' END AS class FROM s FULL JOIN c USING (p_partkey)""")
 def j40_partition(t: Tables) -> DataFrame:
+    """J43."""
     return overlay.partitioned(t.part.where("p_partkey % 3 <> 0"), t.part.where("p_partkey % 2 = 0"), "p_partkey", F.col("p_partkey") % 4 != 0, F.col("p_partkey") % 10 == 0)
 
 
 @query("SELECT p_name AS alias, coalesce(max(p_partkey * 10) FILTER (WHERE p_partkey % 3 = 0), max(p_partkey)) AS id FROM part GROUP BY p_name")
 def j41_aliases(t: Tables) -> DataFrame:
+    """J36."""
     own = t.part.select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("id"))
     return overlay.resolved_aliases([own, own.where("id % 3 = 0").withColumn("id", F.col("id") * 10)])
 
@@ -285,6 +293,7 @@ def w11_batches(t: Tables) -> DataFrame:
 l AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER w AS previous, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT o_custkey, o_orderkey, o_orderstatus, previous FROM l WHERE n > 1 AND o_orderstatus <> previous""")
 def w12_changes(t: Tables) -> DataFrame:
+    """Q16."""
     return windows.changes(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", [F.col("o_orderkey")], "o_orderstatus")
 
 
