@@ -108,3 +108,25 @@ def test_streams_of_files(spark, tmp_path):
 @pytest.mark.parametrize("at, expected", [(1, 30), (2, 60), (20, 3600)])
 def test_backoff(spark, at, expected):
     assert spark.range(1).select(scalars.backoff(F.lit(at), 30, 3600).alias("d")).first().d == expected
+
+
+def test_preview_names_every_row_of_both_sides(spark, monkeypatch):
+    side = lambda k, s, texts: [(k, s, i, "talk", "m", t) for i, t in enumerate(texts)]
+    rows = side(1, "left", ["a", "b", "c"]) + side(1, "right", ["a", "x", "c", "d"]) + side(2, "left", ["a"]) + side(3, "right", ["q"])
+    df = spark.createDataFrame(rows, "k long, side string, position long, kind string, speaker string, text string")
+    pairs = align.aligned(df, "k")
+    found = {(r.k, r.left, r.right): r.outcome for r in align.preview(df, pairs, "k").collect()}
+    matched = {(r.k, r.left): r.right for r in pairs.where("status = 'matched'").collect()}
+    text = {(k, s, i): t for k, s, i, _, _, t in rows}
+    want = {}
+    for k, s, i, _, _, t in rows:
+        if s == "left":
+            j = matched.get((k, i))
+            want[k, i, j] = "missing" if j is None else "matched" if text[k, "right", j] == t else "conflict"
+        elif i not in {j for (x, _), j in matched.items() if x == k}:
+            want[k, None, i] = "unmatched"
+    assert found == want and set(found.values()) >= {"matched", "missing", "unmatched"}
+    large = spark.createDataFrame([(1, None, None, "too_large")], "k long, left long, right long, status string")
+    judged = align.preview(df.where("k = 1"), large, "k")
+    assert {r.outcome for r in judged.collect()} == {"too_large"}
+    assert [tuple(r) for r in align.preview_counts(judged, "k").collect()] == [(1, 0, 0, 0, 0, 3)]
