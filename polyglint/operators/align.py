@@ -89,11 +89,14 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
         side = {s: pdf[pdf["side"] == s] for s in ("left", "right")}
         a, b = ([tuple(x) for x in d[["kind", "speaker", "text"]].itertuples(index=False)] for d in side.values())
         name = pdf[key].iloc[0]
+        def given(left: list, right: list, status: str, n: int) -> pd.DataFrame:
+            return pd.DataFrame({key: pd.Series([name] * n, dtype=pdf[key].dtype), "left": pd.Series(left, dtype="Int64"), "right": pd.Series(right, dtype="Int64"), "status": pd.Series([status] * n, dtype=object)})
+
         if max(len(a), len(b)) > MOST_ROWS or len(a) * len(b) > MOST_CELLS:
-            return pd.DataFrame({key: [name], "left": [None], "right": [None], "status": ["too_large"]})
+            return given([None], [None], "too_large", 1)
         pairs = alignment(a, b) if a and b else []
         at = [d["position"].tolist() for d in side.values()]
-        return pd.DataFrame({key: [name] * len(pairs), "left": [at[0][i] for i, _ in pairs], "right": [at[1][j] for _, j in pairs], "status": ["matched"] * len(pairs)})
+        return given([at[0][i] for i, _ in pairs], [at[1][j] for _, j in pairs], "matched", len(pairs))
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, "side", "position", "kind", "speaker", "text").groupBy(key).applyInPandas(run, f"{key} {kind}, left bigint, right bigint, status string")
