@@ -28,6 +28,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMORY = 500_000
 
 
+def check_supported(data: dict) -> None:
+    """Refuse tokenizer files that ask for more than byte-level BPE with the pattern above."""
+    before, model = data.get("pre_tokenizer") or {}, data.get("model") or {}
+    level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    added = not any(t.get(k) for t in data.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+    if not (level and plain and added and model.get("type") == "BPE" and not data.get("normalizer")):
+        raise ValueError("not a byte-level BPE file of the supported kind")
+
+
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -41,6 +51,7 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        check_supported(data)
         vocab, letters = data["model"]["vocab"], byte_letters()
         back = {c: b for b, c in letters.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]

@@ -80,3 +80,16 @@ def test_cache_is_used_and_appended_to(spark, tmp_path, monkeypatch):
     assert third[900] == third[901] and tokencount.stored(spark, cache).count() == n + 1
     # Another tokenizer doesn't see those counts.
     assert {r.n_tokens for r in tokencount.token_counts(docs, BYTES, changed).collect()}.isdisjoint({r.n_tokens for r in again})
+
+
+def test_other_kinds_of_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from polyglint.llm.queries import tokenizer_path
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        data = json.load(f)
+    bpe.check_supported(data)
+    for part, key, value in (("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "type", "Whitespace"), ("model", "end_of_word_suffix", "</w>"), ("model", "type", "Unigram")):
+        with pytest.raises(ValueError):
+            bpe.check_supported(data | {part: data[part] | {key: value}})
