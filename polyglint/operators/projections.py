@@ -108,3 +108,22 @@ def rebuilt(documents: DataFrame, fresh: DataFrame, changed: DataFrame, key: str
     """Published documents after the changed paths were built anew; a path that fresh lacks is gone."""
     kept = documents.join(changed.select(key), key, "left_anti")
     return kept.unionByName(fresh.join(changed.select(key), key, "left_semi"))
+
+
+def script_dialogue(rows: DataFrame, key: str, text: str, mark: str = "：", within: str = r"\N") -> DataFrame:
+    """Scripts as (key, n, speaker, sub, body, starts, ends): what stands before the first mark of a line
+    is the speaker, bodies are cut at line breaks written as `within`, of several blank lines in a row
+    the first stays."""
+    from pyspark.sql import Window
+
+    each = rows.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("__b", F.trim("line") == "")
+    before = F.lag("__b").over(Window.partitionBy(key).orderBy("n"))
+    kept = each.withColumn("__p", F.coalesce(before, F.lit(False))).where("not (__b and __p)")
+    at = F.locate(mark, F.col("line"))
+    said = kept.select(
+        key, "n", F.when(at > 0, F.substring(F.col("line"), F.lit(1), at - 1)).otherwise("").alias("speaker"),
+        F.when(at > 0, F.substring(F.col("line"), at + len(mark), F.length("line"))).when(F.col("__b"), "").otherwise(F.col("line")).alias("body"),
+    )
+    parts = said.withColumn("__s", F.split("body", "\\Q" + within + "\\E"))
+    made = parts.select(key, "n", "speaker", F.size("__s").alias("__n"), F.posexplode("__s").alias("sub", "body"))
+    return made.select(key, "n", "speaker", "sub", "body", (F.col("sub") == 0).alias("starts"), (F.col("sub") == F.col("__n") - 1).alias("ends"))

@@ -465,3 +465,14 @@ def p06_known_values(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     source = F.when(k % 3 == 0, "llm").otherwise("human")
     return t.part.select(k, scalars.untranslated(F.lit("x"), source).alias("untranslated"), F.when(k % 2 == 0, "draft").otherwise("else").isin("none", "draft", "published").alias("named"))
+
+
+@query(r"""
+l AS (SELECT p_partkey, unnest(range(5)) AS n, unnest(['Miku：' || p_name || '：\Nx', ' ', '', p_name, 'Rin：']) AS line FROM part WHERE p_partkey % 3 = 0),
+k AS (SELECT p_partkey, n, CASE WHEN contains(line, '：') THEN left(line, instr(line, '：') - 1) ELSE '' END AS speaker, string_split(CASE WHEN contains(line, '：') THEN substr(line, instr(line, '：') + 1) ELSE trim(line) END, '\N') AS s FROM l WHERE n <> 2)
+SELECT p_partkey, n, speaker, i - 1 AS sub, s[i] AS body, i = 1 AS starts, i = len(s) AS ends FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM k)""")
+def s25_script_dialogue(t: Tables) -> DataFrame:
+    """Scripts with full-width colons, written line breaks and blank runs."""
+    script = F.concat(F.lit("Miku："), "p_name", F.lit("：\\Nx\n \n\n"), "p_name", F.lit("\nRin："))
+    found = projections.script_dialogue(t.part.where("p_partkey % 3 = 0").select("p_partkey", script.alias("text")), "p_partkey", "text")
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("n", "sub")})
