@@ -8,7 +8,8 @@ that met are candidates if they differ in at most REACH bits of this and the nex
 
 Candidates are thinned only by links that passed the Jaccard test: a candidate is left out where its
 texts are in one verified group, or (for now) where others join the same groups. Groups in which a
-test failed are searched again, with more candidates for each text, until none is left out.
+test failed are searched again; texts of pairs left out there are searched among themselves, with
+more candidates for each text, until none is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, judged
 SEEDS = 5
 #: Most bits of two fingerprints (128) in which candidates differ; at a similarity of 0.8 it is 19.4 +- 4.1.
 REACH = 28
-#: Candidates for each text and anchor when groups are first searched again; then four times as many each time.
-FIRST = 4
+#: Candidates for each text and anchor when groups are first searched again; then eight times as many each time.
+FIRST = 16
 SEEN = [f"seen_{k}" for k in range(SEEDS)]
 MEMBER = "id long, seed int, fingerprint long, check long, label long"
 
@@ -71,6 +72,7 @@ class _Meeting:
         self.home = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
         self.root: dict[int, int] = {}
         self.used: dict[int, int] = {}
+        self.short: set[int] = set()
 
     def find(self, x: int) -> int:
         while self.root.get(x, x) != x:
@@ -109,15 +111,14 @@ class _Meeting:
                     self.used[m], self.used[h] = self.used.get(m, 0) + 1, self.used.get(h, 0) + 1
                     out.append((m, h, False))
                 else:
-                    if not self.used.get(-1):
-                        out.append((m, m, True))
-                    self.used[-1] = 1
+                    out.extend((x, x, True) for x in {m, h} - self.short)
+                    self.short |= {m, h}
 
 
 def candidates(members: DataFrame, cover: Cover, most: int | None = None) -> DataFrame:
     """members (MEMBER) -> (a, b, more): pairs of different labels that meet at an anchor. Without
-    most, those alone that join groups there; else up to most for each text and anchor, and a row
-    with more where some were left out."""
+    most, those alone that join groups there; else up to most for each text and anchor, and for both
+    texts of every pair left out a row (id, id) with more."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
     replica = pa.schema([("block", pa.int32()), ("anchor", pa.int64()), ("away", pa.int32()), *((n, pa.int64()) for n in ("id", "fingerprint", "check", "label"))])
 
@@ -182,11 +183,15 @@ def linked(members: DataFrame, docs: DataFrame, width: int, similarity: float, c
     most, more = FIRST, True
     while more:
         found = written(candidates(labelled(live, label), cover, most), "pairs")
-        more = not found.where("more").isEmpty()
+        # Both texts of every pair left out are searched among themselves; all other pairs are known now.
+        short = found.where("more").select(F.col("a").alias("id")).distinct()
+        more = not short.isEmpty()
         fresh = found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti")
         known = known.unionByName(written(tested(fresh), "tested"))
         label = components(known.where("ok"))
-        most *= 4
+        if more:
+            live = saved(live.join(short, "id", "left_semi"))
+        most *= 8
     return label
 
 

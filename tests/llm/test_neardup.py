@@ -70,6 +70,8 @@ def test_candidates_are_limited_and_say_so(spark):
     rows = [member(i, i) for i in range(40)]
     found = neardup.candidates(spark.createDataFrame(rows, neardup.MEMBER), neardup.four_blocks(), 2).collect()
     assert any(x.more for x in found) and all(x.a != x.b for x in found if not x.more)
+    pairs, short = {(x.a, x.b) for x in found if not x.more}, {x.a for x in found if x.more}
+    assert all({a, b} <= short for a in range(40) for b in range(a + 1, 40) if (a, b) not in pairs)
     whole = neardup.candidates(spark.createDataFrame(rows, neardup.MEMBER), neardup.four_blocks(), 1000).collect()
     assert not any(x.more for x in whole) and len(whole) == 40 * 39 // 2
     assert isinstance(simhash.wide_cover(8), simhash.Cover)
