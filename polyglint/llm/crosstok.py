@@ -3,7 +3,7 @@
 Texts of an Arrow batch lie one after another on one axis of bytes; two tables hold the token
 intervals of both tokenizers there. DuckDB, in the task, finds the offsets where both end (the
 groups), numbers them by a window sum, gives the first tokenizer's tokens their group by that sum and
-the second's by an ASOF join, counts a text's groups by a range join, and joins the tokens of a group
+the second's by an ASOF join, counts a text's groups by a range join with what ends inside one, and joins the tokens of a group
 to links. Each batch's counts of documents by id pair are merged in Spark; a second pass over the
 written links weighs them with the merged counts.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import duckdb
 import numpy as np
@@ -38,19 +38,25 @@ class First:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         known = ByteBPE(path)  # refuses files of another kind
         self.bytes = known.bytes
         ranks = {b: i for i, b in enumerate(known.bytes) if i not in set(known.special.values())}
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
         # Ids that ascend with the merges serve as ranks; else the library encodes alone.
         ascending = known.made == sorted(known.made) and min(known.made) > max(known.first) and len(set(known.made)) == len(known.made)
         self.fast = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ascending else None
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         out = []
         for t in texts:
@@ -100,7 +106,8 @@ GROUPS = (
     "CREATE OR REPLACE TEMP TABLE groups AS SELECT stop, g FROM ag WHERE cut",
     "CREATE OR REPLACE TEMP TABLE bg AS SELECT b.pos, b.id, groups.g FROM b ASOF JOIN groups ON b.stop <= groups.stop",
 )
-PER_TEXT = "SELECT t.doc, count(*) AS n FROM texts t JOIN groups g ON g.stop > t.low AND g.stop <= t.high GROUP BY t.doc ORDER BY t.doc"
+#: Tokens of A that end inside a group, by text: A's others end one group each.
+INNER = "SELECT t.doc, count(*) AS n FROM texts t JOIN (SELECT stop FROM ag WHERE NOT cut) s ON s.stop > t.low AND s.stop < t.high GROUP BY t.doc"
 #: Links by text and id pair: of the tokens of a group, or, where groups are wide, of its ids and how often each occurs.
 LINKS = "CREATE OR REPLACE TEMP TABLE links AS SELECT ag.doc, ag.id::BIGINT * {width} + bg.id AS pair, count(*) AS n FROM ag JOIN bg USING (g) GROUP BY ALL"
 WIDE_LINKS = """CREATE OR REPLACE TEMP TABLE links AS SELECT x.doc, x.id::BIGINT * {width} + y.id AS pair, sum(x.n * y.n)::BIGINT AS n
@@ -138,11 +145,12 @@ def aligned_texts(texts: list[str], a: First, b: Second, db: duckdb.DuckDBPyConn
     db.execute((WIDE_LINKS if wide else LINKS).format(width=len(b.bytes)))
     links = db.execute("SELECT doc, pair, n FROM links ORDER BY doc, pair").fetchnumpy()
     counts = db.execute("SELECT pair, count(*) AS n FROM links GROUP BY pair ORDER BY pair").fetchnumpy()
-    per_text = db.execute(PER_TEXT).fetchnumpy()
+    inner = db.execute(INNER).fetchnumpy()
     for name in tables:
         db.unregister(name)
     out["n_a"][kept], out["n_b"][kept] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-    out["n_groups"][per_text["doc"]] = per_text["n"]
+    out["n_groups"] = out["n_a"].copy()
+    out["n_groups"][inner["doc"]] -= inner["n"]
     out["n_links"] = np.bincount(links["doc"], weights=links["n"], minlength=n).astype(np.int64)
     for i, text in zip(kept, printed_groups(ta["id"].to_numpy(), ga, cut, tb["id"].to_numpy(), gb, out["n_a"][kept] + out["n_b"][kept], len(a.bytes), len(b.bytes))):
         out["groups"][i] = text
