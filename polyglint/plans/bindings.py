@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changing, counting, naming, publishing, reading, relating  # noqa: F401  (they register their queries)
+from . import changing, counting, naming, publishing, reading, recovering, relating  # noqa: F401  (they register their queries)
 from .relations import QUERIES, SQL
 
 
