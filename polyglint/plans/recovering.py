@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import candidate
+from ..operators import candidate, overlay, projections, staging
+from ..session import shared_folder
 from .relations import Tables, query
 
 
@@ -80,3 +81,34 @@ def j37_refused_batch(t: Tables) -> DataFrame:
     """One faulty song refuses the whole batch; the index is empty then."""
     index, _, why = candidate.public(recovered(t), "b")
     return why.select(F.lit("refused").alias("kind"), "music_id", "problem").unionByName(index.select(F.lit("index").alias("kind"), "music_id", F.col("state").alias("problem")))
+
+
+@query("""
+a AS (SELECT l_partkey AS k, min(l_linenumber) AS body FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+r AS (SELECT l_partkey AS k, min(l_linenumber) AS body FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT 'stored' AS kind, k, body::VARCHAR AS value FROM a JOIN part ON k = p_partkey
+UNION ALL SELECT 'outcome', r.k, CASE WHEN p_size > 45 THEN 'drift' WHEN a.k IS NULL THEN 'inserted' WHEN a.body = r.body THEN 'replayed' ELSE 'conflict' END FROM r JOIN part ON r.k = p_partkey LEFT JOIN a ON a.k = r.k""")
+def m26_staged_import(t: Tables) -> DataFrame:
+    """A batch is staged, verified and published; the next one, of which items conflict or drift, is
+    refused and leaves the table as it was."""
+    store = staging.Store(t.spark, shared_folder(t.spark, "imports"))
+    catalog = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"))
+    sold = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.min("l_linenumber").alias("body"))
+    items = lambda flag, title: sold(flag).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("k"), title.alias("title"), "body")
+    take = lambda batch, rows: staging.import_batch(store, batch, "items", rows, catalog, "k", ["body"], ["title"], catalog.count())
+    take("first", items("A", F.col("p_name")))
+    _, found = take("second", items("R", F.when(F.col("p_size") > 45, F.upper("p_name")).otherwise(F.col("p_name"))))
+    stored = store.read("items", "k long, body int").select(F.lit("stored").alias("kind"), "k", F.col("body").cast("string").alias("value"))
+    return stored.unionByName(found.select(F.lit("outcome").alias("kind"), "k", F.col("outcome").alias("value")))
+
+
+@query("""SELECT 'translation/' || category || '.' || field || '.json' AS path, '{' || string_agg('"' || jp_key || '":"' || text || '"', ',' ORDER BY jp_key) || '}' AS body, 2::BIGINT AS generation FROM overlay GROUP BY category, field""")
+def s20_write_all(t: Tables) -> DataFrame:
+    """All documents of a locale published as one generation; the second replaces the first as a whole."""
+    store = staging.Store(t.spark, shared_folder(t.spark, "published"))
+    view = overlay.with_orphans(t.entries, t.overlay, "en-US").where("text is not null and text <> ''")
+    body = projections.flat_json(view, ["category", "field"], "jp_key", "text")
+    documents = body.select(F.concat(F.lit("translation/"), "category", F.lit("."), "field", F.lit(".json")).alias("path"), "body")
+    staging.write_all(store, "first", documents.where("path < 'translation/d'"))
+    staging.write_all(store, "second", documents)
+    return store.read("files").withColumn("generation", F.lit(store.manifest()["generation"]).cast("bigint"))
