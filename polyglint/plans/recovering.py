@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import candidate, overlay, projections, staging
+from ..operators import candidate, overlay, projections, ruby, shards, staging
 from ..session import shared_folder
 from .relations import Tables, query
 
@@ -112,3 +112,37 @@ def s20_write_all(t: Tables) -> DataFrame:
     staging.write_all(store, "first", documents.where("path < 'translation/d'"))
     staging.write_all(store, "second", documents)
     return store.read("files").withColumn("generation", F.lit(store.manifest()["generation"]).cast("bigint"))
+
+
+@query("""
+i AS (SELECT row_number() OVER (ORDER BY c_custkey) AS p, c_custkey AS k, '{"k":' || c_custkey || ',"n":"' || c_name || '"}' AS body, c_nationkey AS raw FROM customer),
+z AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT p, 0 AS ordinal, 41 + strlen(body) AS enc, raw FROM i WHERE p = 1
+  UNION ALL SELECT p, ordinal + (CASE WHEN fits THEN 0 ELSE 1 END), CASE WHEN fits THEN enc + 1 + size ELSE 40 + length((ordinal + 1)::VARCHAR) + size END, CASE WHEN fits THEN sum_raw + raw ELSE raw END
+    FROM (SELECT i.p, w.ordinal, w.enc, strlen(i.body) AS size, w.raw AS sum_raw, i.raw, w.enc + 1 + strlen(i.body) <= 1500 AND w.raw + i.raw <= 300 AS fits FROM w JOIN i ON i.p = w.p + 1)) SELECT p, ordinal FROM w)),
+b AS (SELECT ordinal, count(*) AS n_items, sum(raw)::BIGINT AS raw_bytes, min(k) AS first_id, max(k) AS last_id, '{"schemaVersion":1,"ordinal":' || ordinal || ',"items":[' || string_agg(body, ',' ORDER BY p) || ']}' AS whole FROM z JOIN i USING (p) GROUP BY ordinal)
+SELECT ordinal, n_items, raw_bytes, first_id, last_id, strlen(whole) AS encoded_bytes, sha256(whole) AS sha256 FROM b""")
+def s28_shards(t: Tables) -> DataFrame:
+    """Content-addressed shards of items in order, under an encoded and a raw ceiling."""
+    body = F.concat(F.lit('{"k":'), F.col("c_custkey").cast("string"), F.lit(',"n":"'), "c_name", F.lit('"}'))
+    found, _ = shards.sealed(t.customer.select(F.col("c_custkey").alias("k"), body.alias("body"), F.col("c_nationkey").alias("raw")), "k", "body", "raw", 1500, 300)
+    return found.select("ordinal", "n_items", "raw_bytes", "first_id", "last_id", "encoded_bytes", "sha256")
+
+
+@query("""
+n AS (SELECT p_partkey, p_name, least(p_size // 2, length(p_name)) AS a, string_split(p_name, ' ')[1] AS w1, CASE WHEN p_brand LIKE '%1' THEN 'yomi' ELSE '' END AS r, p_container AS c, p_size FROM (SELECT *, p_type AS p_container FROM part)),
+q AS (SELECT *, length(w1) AS l, substr(p_name, length(w1) + 1) || CASE WHEN p_size % 10 = 0 THEN '!' ELSE '' END AS w2 FROM n)
+SELECT p_partkey, CASE WHEN r <> '' AND a > 0 AND a < l THEN 'crosses_segment' WHEN p_size % 10 = 0 THEN 'continues_after' END AS refusal,
+  CASE WHEN NOT (r <> '' AND a > 0 AND a < l) AND p_size % 10 <> 0 THEN
+    array_to_string(list_filter([CASE WHEN a > 0 THEN substr(w1, 1, a) || ':' || r END, CASE WHEN a > l THEN substr(w2, 1, a - l) || ':' END], lambda x: x IS NOT NULL), '|') || '/' ||
+    array_to_string(list_filter([CASE WHEN a < l THEN substr(w1, a + 1) || ':' || r END, CASE WHEN a < length(p_name) AND w2 <> '' THEN substr(w2, greatest(a - l, 0) + 1) || ':' END], lambda x: x IS NOT NULL), '|') END AS parts
+FROM q""")
+def f35_ruby_parts(t: Tables) -> DataFrame:
+    """a name's first word, annotated for some brands, and the rest, dealt to two segments."""
+    at = F.least(F.floor(F.col("p_size") / 2).cast("int"), F.length("p_name"))
+    word = F.split("p_name", " ")[0]
+    rest = F.concat(F.expr("substr(p_name, length(split(p_name, ' ')[0]) + 1)"), F.when(F.col("p_size") % 10 == 0, "!").otherwise(""))
+    span = lambda text, reading: F.struct(text.alias("text"), reading.alias("reading"))
+    lines = t.part.select("p_partkey", F.array(F.substring("p_name", F.lit(1), at), F.substring("p_name", at + 1, F.length("p_name"))).alias("segments"), F.array(span(word, F.when(F.col("p_brand").endswith("1"), "yomi").otherwise("")), span(rest, F.lit(""))).alias("spans"))
+    found = ruby.partitioned(lines, "segments", "spans")
+    shown = F.array_join(F.transform("parts", lambda part: F.array_join(F.transform(part, lambda x: F.concat(x["text"], F.lit(":"), x["reading"])), "|")), "/")
+    return found.select("p_partkey", "refusal", shown.alias("parts"))
