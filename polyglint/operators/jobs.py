@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +64,36 @@ def transitioned(queue: DataFrame, reports: DataFrame, least: int = 30, most: in
 
 def admitted(attempts: DataFrame, key: str, order: str, seconds: str, length: int, limit: int) -> DataFrame:
     """Attempts within their key's window: it opens with a first attempt, lasts a fixed time and admits
-    a number of attempts; the next attempt after it opens a new one. Windows follow each other by a
-    fold over the key's ordered attempts."""
-    times = F.array_sort(F.collect_list(F.struct(F.col(seconds).cast("bigint").alias("t"), F.col(order).cast("bigint").alias("o"))))
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<o:bigint,admitted:boolean,start:bigint>>").alias("out"))
-
-    def step(acc, x):
-        fresh = acc["start"].isNull() | (x["t"] >= acc["start"] + length)
-        start, n = F.when(fresh, x["t"]).otherwise(acc["start"]), F.when(fresh, F.lit(1).cast("bigint")).otherwise(acc["n"] + 1)
-        row = F.array(F.struct(x["o"].alias("o"), (n <= limit).alias("admitted"), start.alias("start")))
-        return F.struct(start.alias("start"), n.alias("n"), F.concat(acc["out"], row).alias("out"))
-
-    folded = attempts.groupBy(key).agg(F.aggregate(times, zero, step)["out"].alias("__o"))
-    return folded.select(key, F.explode("__o").alias("x")).select(key, F.col("x.o").alias(order), "x.admitted", F.col("x.start").alias("window_start"))
+    a number of attempts; the next attempt after it opens a new one.
+
+    Windows follow each other, so that a key's attempts are read in order: sorted by Spark, they pass in
+    Arrow batches, of which only the last key, its window's start and its count are kept. Attempts without
+    a key or a time are not judged."""
+    given = attempts.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).select(key, F.col(seconds).cast("bigint").alias("__t"), F.col(order).cast("bigint").alias(order))
+    dealt = given.repartition(key).sortWithinPartitions(key, "__t", order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, n = None, 0, 0
+        for batch in batches:
+            keys, t = batch[key].to_numpy(), batch["__t"].to_numpy()
+            starts, count = np.empty(len(t), dtype=np.int64), np.empty(len(t), dtype=np.int64)
+            turns = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)) if len(keys) else []
+            low = 0
+            for high in turns:
+                if keys[low] != last:
+                    last, start, n = keys[low], int(t[low]), 0
+                at = low
+                while at < high:
+                    if t[at] >= start + length:
+                        start, n = int(t[at]), 0
+                    end = at + int(np.searchsorted(t[at:high], start + length))
+                    starts[at:end], count[at:end] = start, n + np.arange(1, end - at + 1)
+                    n, at = n + end - at, end
+                low = high
+            yield pd.DataFrame({key: batch[key], order: batch[order], "admitted": count <= limit, "window_start": starts})
+
+    kind = given.schema[key].dataType.simpleString()
+    return dealt.mapInPandas(run, f"`{key}` {kind}, `{order}` bigint, admitted boolean, window_start bigint")
 
 
 def cached(fresh: DataFrame, previous: DataFrame, key: str, values: str) -> DataFrame:
