@@ -434,10 +434,13 @@ def a20_classified(t: Tables) -> DataFrame:
     return catalog.classified(rows, "p_partkey", "title", k % 11 == 0, k % 7 == 0, k % 13 == 0).select(k, "reason")
 
 
-@query("""
+ADMITTED = """
 SELECT * FROM (WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
 r AS (SELECT user_id, event_id, i, s AS w, 1 AS n FROM a WHERE i = 1 UNION ALL SELECT a.user_id, a.event_id, a.i, CASE WHEN a.s >= r.w + 86400 THEN a.s ELSE r.w END, CASE WHEN a.s >= r.w + 86400 THEN 1 ELSE r.n + 1 END FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
-SELECT user_id, event_id, n <= 2 AS admitted, w AS window_start FROM r)""")
+SELECT user_id, event_id, n <= 2 AS admitted, w AS window_start FROM r)"""
+
+
+@query(ADMITTED)
 def q15_admitted(t: Tables) -> DataFrame:
     """Q15: windows open with the first attempt and don't slide."""
     seconds = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp")))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..operators import candidate, overlay, projections, ruby, shards, staging
 from ..session import shared_folder
+from ..streaming import stateful
+from .publishing import ADMITTED
 from .relations import Tables, query
 
 
@@ -146,3 +148,35 @@ def f35_ruby_parts(t: Tables) -> DataFrame:
     found = ruby.partitioned(lines, "segments", "spans")
     shown = F.array_join(F.transform("parts", lambda part: F.array_join(F.transform(part, lambda x: F.concat(x["text"], F.lit(":"), x["reading"])), "|")), "/")
     return found.select("p_partkey", "refusal", shown.alias("parts"))
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    """The events as a file stream; the pattern lets the table be one file or a folder."""
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
+
+
+@query(ADMITTED)
+def q15_stream_windows(t: Tables) -> DataFrame:
+    """Q15 as a stream: a key's window is state that a timer clears."""
+    seconds = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    found = stateful.admitted(_event_stream(t).select("user_id", "event_id", seconds.alias("s")), "user_id", "event_id", "s", 86400, 2)
+    return stateful.collected(found, shared_folder(t.spark, "windows")).withColumn("user_id", F.col("user_id").cast("bigint"))
+
+
+@query("""
+e AS (SELECT user_id, event_id, epoch_us(ts) // 604800000000 AS week, event_type, event_type || event_id AS payload, value > 300 AS bad FROM events),
+h AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN week END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM e),
+o AS (SELECT *, CASE WHEN event_type = 'signup' THEN CASE WHEN now IS NULL OR week > now THEN 'opened' ELSE 'stale_epoch' END WHEN now IS NULL THEN 'unavailable' WHEN week <> now THEN 'retired'
+  WHEN event_type = 'error' THEN 'loaded' WHEN bad THEN 'bad_checksum' ELSE 'appended' END AS outcome FROM h),
+n AS (SELECT *, count(*) FILTER (WHERE outcome = 'appended') OVER w AS k, string_agg(payload, chr(10) ORDER BY event_id) FILTER (WHERE outcome IN ('opened', 'appended')) OVER w AS body
+  FROM o WINDOW w AS (PARTITION BY user_id, week ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, outcome, CASE WHEN outcome IN ('opened', 'loaded', 'appended') THEN k END AS seq, CASE WHEN outcome = 'loaded' THEN body END AS body FROM n""")
+def q10_stream_log(t: Tables) -> DataFrame:
+    """Q9, Q10 and Q14 as a stream: signups open a week's epoch, errors load the log, other events append."""
+    kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "load").otherwise("update")
+    payload = F.concat("event_type", F.col("event_id").cast("string"))
+    week = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 604800000000)
+    digest = F.when(F.col("value") > 300, "bad").otherwise(F.sha2(payload.cast("binary"), 256))
+    events = _event_stream(t).select(F.col("user_id").alias("room"), week.alias("epoch"), kind.alias("kind"), F.col("event_id").alias("ord"), payload.alias("payload"), digest.alias("digest"))
+    found = stateful.collected(stateful.room_log(events, every=5), shared_folder(t.spark, "log"))
+    return found.select(F.col("room").cast("bigint").alias("user_id"), F.col("ord").alias("event_id"), "outcome", "seq", "body")
