@@ -132,19 +132,3 @@ def unique_json(s: str) -> bool:
 
 
 unique_json_udf = _udf(unique_json, BooleanType())
-
-
-def canonical_json(s: str) -> str | None:
-    """JSON with sorted keys, no spaces, and <, >, & and line separators escaped; null if invalid."""
-    import json
-
-    try:
-        text = json.dumps(json.loads(s), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    except ValueError:
-        return None
-    for c in "<>&  ":
-        text = text.replace(c, f"\\u{ord(c):04x}")
-    return text
-
-
-canonical_json_udf = _udf(canonical_json, StringType())

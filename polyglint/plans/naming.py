@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars, unicode
+from ..functions import canonical, scalars, unicode
 from ..operators import align, catalog, stats
 from .relations import Tables, query
 
@@ -200,7 +200,27 @@ def n01_canonical_json(t: Tables) -> DataFrame:
     """One form for one value; what is no JSON has none."""
     k, name = F.col("p_partkey"), F.col("p_name")
     body = F.when(k % 5 == 0, "{").otherwise(F.concat(F.lit('{ "b":"<x>&", "a":[1, "'), name, F.lit('"]}')))
-    return t.part.select(k, unicode.canonical_json_udf(body).alias("body"))
+    return t.part.select(k, canonical.canonical_json_udf(body).alias("body"))
+
+
+@query("""
+r AS (SELECT p_partkey, p_name, p_size, p_brand, CASE WHEN p_size % 2 = 0 THEN p_size * 1000000000000000000000 ELSE p_size END AS n FROM part),
+c AS (SELECT *, '{"ScenarioId":"' || p_brand || '","Snippets":[{"Action":' || CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size < 10 THEN p_size::VARCHAR WHEN p_size % 10 = 0 THEN (p_size // 10)::VARCHAR ELSE (p_size // 10) || '.' || (p_size % 10) END || 'e+' || CASE WHEN p_size < 10 THEN 21 ELSE 22 END ELSE p_size::VARCHAR END
+  || ',"Text":"' || p_name || ' \\u003cb\\u003e"}],"TalkData":[],"SpecialEffectData":[],"AppearCharacters":[0.5]}' AS form FROM r)
+SELECT p_partkey, CASE WHEN p_size = 1 THEN 'id_mismatch' WHEN p_size = 2 THEN 'not_array:TalkData' END AS problem, CASE WHEN p_size > 2 THEN form END AS form, CASE WHEN p_size > 2 THEN sha256(form) END AS sha256,
+  CASE WHEN p_size <= 2 THEN 'digest_mismatch' WHEN p_size % 2 = 0 THEN NULL ELSE 'not_canonical' END AS stored_problem FROM c""")
+def n02_scenarios(t: Tables) -> DataFrame:
+    """The five fields in fixed order, and stored forms held against them; those of odd sizes keep
+    a number as it was written."""
+    size = F.col("p_size").cast("string")
+    number = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit("e21"))).otherwise(F.concat(size, F.lit(".0")))
+    talk = F.when(F.col("p_size") == 2, "{}").otherwise("[]")
+    body = F.concat(F.lit('{ "TalkData": '), talk, F.lit(', "More": 1, "Snippets": [{"Text": "'), "p_name", F.lit(' <b>", "Action": '), number, F.lit('}], "AppearCharacters": [5e-1], "SpecialEffectData": [], "ScenarioId": "'), "p_brand", F.lit('"}'))
+    made = t.part.select("p_partkey", "p_size", "p_brand", number.alias("number"), canonical.scenario_form_udf(body, F.when(F.col("p_size") == 1, "another").otherwise(F.col("p_brand"))).alias("f"))
+    stored = F.when(F.col("p_size") % 2 == 1, F.regexp_replace("f.body", r'("Action":)[^,]*', F.concat(F.lit("$1"), "number"))).otherwise(F.col("f.body"))
+    made = made.withColumn("stored", F.coalesce(stored, F.lit("")))
+    problem = canonical.stored_problem_udf(F.lit(1), F.lit("1"), "p_brand", "stored", F.when(F.col("p_size") <= 2, "x").otherwise(F.sha2(F.col("stored").cast("binary"), 256)))
+    return made.select("p_partkey", "f.problem", F.col("f.body").alias("form"), "f.sha256", problem.alias("stored_problem"))
 
 
 @query("SELECT p_partkey, 'a|' || p_name AS names FROM part WHERE p_name > 'a'")
