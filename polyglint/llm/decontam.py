@@ -111,7 +111,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, set_rows: int =
     scanned = saved(_scanned(docs, found, set_rows))
     hit = _confirmed(scanned, found, set_rows)
     return scanned.select("doc_id", "row", "n_words").join(hit, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("covered", F.expr("cast(array() as array<int>)")).alias("covered"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items")
+        "doc_id", "n_words", F.coalesce("covered", F.expr("cast(array() as array<int>)")).alias("covered"), F.coalesce("items", F.array().cast(hit.schema["items"].dataType)).alias("items")
     )
 
 

@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter
 
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def test_held_out_toxic_texts_of_the_tables_are_caught(spark):
 
     where = "/root/testdata/sf0.1"
     if not os.path.isdir(where):
-        return
+        pytest.skip("no tables")
     labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic")
     n, caught, clean, hit = (
         op5_toxicity(spark, where).where("held_out").join(labels, "doc_id")

@@ -139,3 +139,10 @@ def test_decontamination_of_odd_tables_and_no_python(spark):
     twice = documents(spark, [(1, ITEMS[1][1], "", "", 0)] * 2 + [(None, ITEMS[1][1], "", "", 0)])
     assert [len(r.covered) for r in decontam.hits(twice, items).collect()] == [4, 4, 4]
     assert not re.search("Python|Pandas|Arrow", plan(decontam.hits(docs, items)) + plan(decontam.windows(items, 10)))
+
+
+def test_decontamination_with_text_ids(spark):
+    docs = spark.createDataFrame([("d1", "one two three"), ("d2", "clean words here"), ("d3", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("x-1", "two three"), ("x-10", "three"), ("y", None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.covered, r["items"]) for r in decontam.hits(docs, bench).collect()}
+    assert got == {"d1": (3, [1, 2], ["x-1", "x-10"]), "d2": (3, [], []), "d3": (0, [], [])}
