@@ -104,16 +104,16 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
 
 def preview(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Each row by what an import would do: matched, conflict (other text), missing (a left row without
-    a partner), unmatched (a right one); too_large for the left rows of groups beyond the bounds."""
+    a partner), unmatched (a right one); too_large for all rows of groups beyond the bounds."""
     left = rows.where("side = 'left'").select(key, F.col("position").alias("left"), F.col("text").alias("left_text"))
     right = rows.where("side = 'right'").select(key, F.col("position").alias("right"), F.col("text").alias("right_text"))
     found = pairs.where("status = 'matched'").select(key, "left", "right")
     large = pairs.where("status = 'too_large'").select(key, F.lit(True).alias("__large"))
     joined = left.join(found, [key, "left"], "left").join(right, [key, "right"], "left").join(large, key, "left")
     outcome = F.when(F.col("__large"), "too_large").when(F.col("right").isNull(), "missing").when(F.col("left_text") == F.col("right_text"), "matched").otherwise("conflict")
-    alone = right.join(found.select(key, "right"), [key, "right"], "left_anti").join(large, key, "left_anti")
+    alone = right.join(found.select(key, "right"), [key, "right"], "left_anti").join(large, key, "left")
     none = F.lit(None).cast("bigint")
-    return joined.select(key, "left", "right", outcome.alias("outcome")).unionByName(alone.select(key, none.alias("left"), "right", F.lit("unmatched").alias("outcome")))
+    return joined.select(key, "left", "right", outcome.alias("outcome")).unionByName(alone.select(key, none.alias("left"), "right", F.when(F.col("__large"), "too_large").otherwise("unmatched").alias("outcome")))
 
 
 def preview_counts(previewed: DataFrame, key: str) -> DataFrame:

@@ -128,5 +128,6 @@ def test_preview_names_every_row_of_both_sides(spark, monkeypatch):
     assert found == want and set(found.values()) >= {"matched", "missing", "unmatched"}
     large = spark.createDataFrame([(1, None, None, "too_large")], "k long, left long, right long, status string")
     judged = align.preview(df.where("k = 1"), large, "k")
-    assert {r.outcome for r in judged.collect()} == {"too_large"}
+    found = judged.collect()
+    assert {r.outcome for r in found} == {"too_large"} and len(found) == sum(k == 1 for k, *_ in rows)
     assert [tuple(r) for r in align.preview_counts(judged, "k").collect()] == [(1, 0, 0, 0, 0, 3)]
