@@ -130,4 +130,4 @@ def test_preview_names_every_row_of_both_sides(spark, monkeypatch):
     judged = align.preview(df.where("k = 1"), large, "k")
     found = judged.collect()
     assert {r.outcome for r in found} == {"too_large"} and len(found) == sum(k == 1 for k, *_ in rows)
-    assert [tuple(r) for r in align.preview_counts(judged, "k").collect()] == [(1, 0, 0, 0, 0, 3)]
+    assert [tuple(r) for r in align.preview_counts(judged, "k").collect()] == [(1, 0, 0, 0, 0, 7)]  # three left rows and four right ones
