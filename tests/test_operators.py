@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from polyglint.functions import scalars, unicode
+from polyglint.functions import canonical, scalars, unicode
 from polyglint.operators import align, jobs, merge, story
 from polyglint.streaming import feeds
 
@@ -66,7 +66,7 @@ def test_unicode_identities():
     assert unicode.top_level_parts("a/b (c/d)、e") == ["a", "b (c/d)", "e"]
     assert unicode.title_matches("Song (Long Title)", "song") and not unicode.title_matches("Song", "Other")
     assert unicode.unique_json('{"a": 1}') and not unicode.unique_json('{"a": {"b": 1, "b": 2}}') and not unicode.unique_json("{")
-    assert unicode.canonical_json('{"b": 1, "a": "<"}') == '{"a":"\\u003c","b":1}' and unicode.canonical_json("x") is None
+    assert canonical.canonical_json('{"b": 1, "a": "<"}') == '{"a":"\\u003c","b":1}' and canonical.canonical_json("x") is None
 
 
 def test_scalars(spark):
