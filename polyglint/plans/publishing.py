@@ -23,15 +23,15 @@ def s16_locale_json(t: Tables) -> DataFrame:
 
 
 _EVENT = """
-l AS (SELECT conv_id, role, turn, role || turn AS k, 'a&<b> ' || turn AS v FROM conversations WHERE conv_id % 7 <> 3),
-e AS (SELECT conv_id, role, min(turn) AS f, '"' || role || '":{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY turn) || '}' AS b FROM l GROUP BY conv_id, role)
+l AS (SELECT conv_id, role, turn, role || turn AS k, '"\\<&' || chr(10) || coalesce(text, '') AS v FROM conversations),
+e AS (SELECT conv_id, role, min(turn) AS f, '"' || role || '":{' || string_agg('"' || k || '":' || to_json(v), ',' ORDER BY turn) || '}' AS b FROM l GROUP BY conv_id, role)
 SELECT conv_id, '{' || string_agg(b, ',' ORDER BY f) || '}' AS body FROM e GROUP BY conv_id"""
 
 
 @query(_EVENT)
 def s17_event_json(t: Tables) -> DataFrame:
     """Members in the order of the story, nothing but JSON's own escapes."""
-    lines = t.conversations.where("conv_id % 7 <> 3").withColumn("k", F.concat("role", "turn")).withColumn("v", F.concat(F.lit("a&<b> "), "turn"))
+    lines = t.conversations.withColumn("k", F.concat("role", "turn")).withColumn("v", F.concat(F.lit('"\\<&\n'), F.coalesce("text", F.lit(""))))
     return projections.event_json(lines, "conv_id", "role", "turn", "k", "v")
 
 
@@ -244,7 +244,7 @@ def n05_talks(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, m.model::INTEGER AS model, m.costume, m.code, m.character FROM part, (SELECT unnest([1, 2]) AS model, unnest(['cos_21miku_x', 'v2_03rin']) AS costume, unnest(['miku', 'rin']) AS code, unnest([21, NULL]) AS character) m")
 def n06_model_characters(t: Tables) -> DataFrame:
     """The first costume of each model counts."""
-    known = t.region.limit(1).select(F.lit("miku").alias("code"), F.lit(21).alias("character"))
+    known = t.spark.range(1).select(F.lit("miku").alias("code"), F.lit(21).alias("character"))
     return story.model_characters(story.decoded(t.part.select("p_partkey", F.expr(_SCENARIO).alias("json"))), ["p_partkey"], known)
 
 
@@ -471,11 +471,11 @@ def p06_known_values(t: Tables) -> DataFrame:
 
 
 @query(r"""
-l AS (SELECT p_partkey, unnest(range(5)) AS n, unnest(['Miku：' || p_name || '：\Nx', ' ', '', p_name, 'Rin：']) AS line FROM part WHERE p_partkey % 3 = 0),
+l AS (SELECT p_partkey, unnest(range(5)) AS n, unnest(['Miku：' || p_name || '：\Nx', ' ', '', p_name, 'Rin：']) AS line FROM part),
 k AS (SELECT p_partkey, n, CASE WHEN contains(line, '：') THEN left(line, instr(line, '：') - 1) ELSE '' END AS speaker, string_split(CASE WHEN contains(line, '：') THEN substr(line, instr(line, '：') + 1) ELSE trim(line) END, '\N') AS s FROM l WHERE n <> 2)
 SELECT p_partkey, n, speaker, i - 1 AS sub, s[i] AS body, i = 1 AS starts, i = len(s) AS ends FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM k)""")
 def s25_script_dialogue(t: Tables) -> DataFrame:
     """Scripts with full-width colons, written line breaks and blank runs."""
     script = F.concat(F.lit("Miku："), "p_name", F.lit("：\\Nx\n \n\n"), "p_name", F.lit("\nRin："))
-    found = projections.script_dialogue(t.part.where("p_partkey % 3 = 0").select("p_partkey", script.alias("text")), "p_partkey", "text")
+    found = projections.script_dialogue(t.part.select("p_partkey", script.alias("text")), "p_partkey", "text")
     return found.withColumns({c: F.col(c).cast("bigint") for c in ("n", "sub")})
