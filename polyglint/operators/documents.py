@@ -20,23 +20,37 @@ def same_content(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -
     return left.join(right, key).select(key, (F.col("__a") == F.col("__b")).alias("same"))
 
 
-def saved(current: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Next documents (key, columns, revision) with an outcome. An edit states the revision it was made
-    from (null: none). created, saved (revision grows), unchanged (the content is the same),
-    conflict (another revision is current), kept (no edit)."""
-    e = edits.select(key, F.col("revision").alias("__base"), content_digest(columns).alias("__new"), *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__e"))
+def _edited(current: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Documents and edits of a key side by side, with an outcome; edits of one key count as one."""
+    e = edits.groupBy(key).agg(F.count("*").alias("__n"), F.max(F.struct(F.col("revision").alias("__base"), content_digest(columns).alias("__new"), *(F.col(c).alias(f"__{c}") for c in columns))).alias("__e")).select(key, "__n", "__e.*")
     both = current.withColumn("__old", content_digest(columns)).join(e, key, "full_outer")
     outcome = (
-        F.when(F.col("__e").isNull(), "kept")
+        F.when(F.col("__n").isNull(), "kept")
+        .when(F.col("__n") > 1, "repeated")
+        .when(F.col("revision").isNull() & F.col("__base").isNotNull(), "not_found")
         .when(~F.col("__base").eqNullSafe(F.col("revision")), "conflict")
         .when(F.col("revision").isNull(), "created")
         .when(F.col("__old") == F.col("__new"), "unchanged")
         .otherwise("saved")
     )
+    return both.withColumn("outcome", outcome)
+
+
+def edit_outcomes(current: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, outcome), one row for each edit: as in saved(), also for those that make no document, and
+    not_found for an edit of a document that is not there."""
+    judged = _edited(current, edits, key, columns).where("__n is not null")
+    return judged.select(key, "outcome", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).drop("__i")
+
+
+def saved(current: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Next documents (key, columns, revision) with an outcome. An edit states the revision it was made
+    from (null: none). created, saved (revision grows), unchanged (the content is the same),
+    conflict (another revision is current), repeated (two edits of it: none is taken), kept (no edit)."""
     takes = F.col("outcome").isin("created", "saved")
-    made = both.withColumn("outcome", outcome)
+    made = _edited(current, edits, key, columns)
     out = made.select(key, *(F.when(takes, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns), (F.coalesce("revision", F.lit(0)) + takes.cast("int")).cast("bigint").alias("revision"), "outcome")
-    return out.where("not (outcome = 'conflict' and revision = 0)")
+    return out.where("revision > 0")
 
 
 def restored(current: dict[str, DataFrame], backup: dict[str, DataFrame], problems: DataFrame) -> dict[str, DataFrame]:

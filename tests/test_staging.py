@@ -2,7 +2,7 @@
 
 import pytest
 
-from polyglint.operators import staging
+from polyglint.operators import documents, staging
 
 ITEM, CATALOG = "k long, title string, body string", "k long, title string"
 
@@ -98,3 +98,13 @@ def test_write_all_and_export(spark, tmp_path):
     staging.exported(store, str(tmp_path / "out"))
     back = spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()
     assert [(r.path, r.value.rstrip("\n")) for r in back] == [("translation/cards.json", '{"a":"2"}')]
+
+
+def test_every_edit_has_an_outcome(spark):
+    current = spark.createDataFrame([(1, "a", 3), (2, "b", 1), (3, "c", 2), (4, None, 1), (9, "z", 5)], "k long, v string, revision long")
+    edits = [(1, "A", 3), (2, "B", 7), (3, "C", 2), (3, "D", 2), (4, None, 1), (5, "new", None), (6, "gone", 4), (7, "x", None), (7, "y", None)]
+    given = spark.createDataFrame(edits, "k long, v string, revision long")
+    docs = {r.k: (r.v, r.revision, r.outcome) for r in documents.saved(current, given, "k", ["v"]).collect()}
+    assert docs == {1: ("A", 4, "saved"), 2: ("b", 1, "conflict"), 3: ("c", 2, "repeated"), 4: (None, 1, "unchanged"), 5: ("new", 1, "created"), 9: ("z", 5, "kept")}
+    found = sorted((r.k, r.outcome) for r in documents.edit_outcomes(current, given, "k", ["v"]).collect())
+    assert found == [(1, "saved"), (2, "conflict"), (3, "repeated"), (3, "repeated"), (4, "unchanged"), (5, "created"), (6, "not_found"), (7, "repeated"), (7, "repeated")]
