@@ -74,20 +74,33 @@ def decided_batch(reviews: DataFrame, decisions: DataFrame, key: str, allowed: S
     return reviews.join(d.select(key, "__d"), key, "left").crossJoin(stop).select(key, F.when(F.col("__stop"), F.col("state")).otherwise(F.coalesce("__d", "state")).alias("state"))
 
 
-def editions(current: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """Editions (key, edition, title, is_default) after one request each (key, edition, action, title):
-    create, rename, default or delete. The default edition can't be deleted."""
-    r = requests.select(key, "edition", F.col("action").alias("__a"), F.col("title").alias("__t"))
+def _requested(current: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Editions and requests side by side, with an outcome; requests for one edition count as one."""
+    r = requests.groupBy(key, "edition").agg(F.count("*").alias("__n"), F.max("action").alias("__a"), F.max("title").alias("__t"))
     both = current.join(r, [key, "edition"], "full_outer")
     there = F.col("is_default").isNotNull()
-    refused = F.when((F.col("__a") == "create") & there, "exists").when((F.col("__a") != "create") & ~there, "not_found").when((F.col("__a") == "delete") & F.col("is_default"), "is_default")
-    made = both.withColumn("outcome", F.when(F.col("__a").isNull(), "kept").otherwise(F.coalesce(refused, F.lit("ok"))))
+    refused = F.when(F.col("__n") > 1, "repeated").when((F.col("__a") == "create") & there, "exists").when((F.col("__a") != "create") & ~there, "not_found").when((F.col("__a") == "delete") & F.col("is_default"), "is_default")
+    return both.withColumn("outcome", F.when(F.col("__n").isNull(), "kept").otherwise(F.coalesce(refused, F.lit("ok"))))
+
+
+def edition_outcomes(current: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """(key, edition, outcome), one row for each request: ok, exists, not_found, is_default or repeated."""
+    judged = _requested(current, requests, key).where("__n is not null")
+    return judged.select(key, "edition", "outcome", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).drop("__i")
+
+
+def editions(current: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Editions (key, edition, title, is_default) after one request each (key, edition, action, title):
+    create, rename, default or delete. The default edition can't be deleted; of two requests for one
+    edition none is taken."""
+    made = _requested(current, requests, key)
     ok = F.col("outcome") == "ok"
     new_default = made.where(ok & (F.col("__a") == "default")).groupBy(key).agg(F.min("edition").alias("__default"))
     made = made.join(new_default, key, "left")
     title = F.when(ok & F.col("__a").isin("create", "rename"), F.col("__t")).otherwise(F.col("title"))
     is_default = F.when(F.col("__default").isNotNull(), F.col("edition") == F.col("__default")).otherwise(F.coalesce("is_default", F.lit(False)))
-    gone = (ok & (F.col("__a") == "delete")) | (F.col("outcome") == "not_found")
+    there = F.col("is_default").isNotNull() | (ok & (F.col("__a") == "create"))
+    gone = (ok & (F.col("__a") == "delete")) | ~there
     return made.where(~gone).select(key, "edition", title.alias("title"), is_default.alias("is_default"), "outcome")
 
 

@@ -108,3 +108,13 @@ def test_every_edit_has_an_outcome(spark):
     assert docs == {1: ("A", 4, "saved"), 2: ("b", 1, "conflict"), 3: ("c", 2, "repeated"), 4: (None, 1, "unchanged"), 5: ("new", 1, "created"), 9: ("z", 5, "kept")}
     found = sorted((r.k, r.outcome) for r in documents.edit_outcomes(current, given, "k", ["v"]).collect())
     assert found == [(1, "saved"), (2, "conflict"), (3, "repeated"), (3, "repeated"), (4, "unchanged"), (5, "created"), (6, "not_found"), (7, "repeated"), (7, "repeated")]
+
+
+def test_every_request_has_an_outcome(spark):
+    current = spark.createDataFrame([(1, "a", "A", True), (1, "b", "B", False), (2, "a", "A", True), (2, "b", "B", False)], "k long, edition string, title string, is_default boolean")
+    asked = [(1, "a", "delete", None), (1, "b", "rename", "BB"), (1, "c", "rename", "x"), (1, "d", "create", "D"), (2, "b", "default", None), (2, "a", "rename", "p"), (2, "a", "rename", "q"), (2, "e", "create", "1"), (2, "e", "create", "2")]
+    given = spark.createDataFrame(asked, "k long, edition string, action string, title string")
+    found = sorted((r.k, r.edition, r.outcome) for r in documents.edition_outcomes(current, given, "k").collect())
+    assert found == [(1, "a", "is_default"), (1, "b", "ok"), (1, "c", "not_found"), (1, "d", "ok"), (2, "a", "repeated"), (2, "a", "repeated"), (2, "b", "ok"), (2, "e", "repeated"), (2, "e", "repeated")]
+    rows = sorted(tuple(r) for r in documents.editions(current, given, "k").collect())
+    assert rows == [(1, "a", "A", True, "is_default"), (1, "b", "BB", False, "ok"), (1, "d", "D", False, "ok"), (2, "a", "A", False, "repeated"), (2, "b", "B", True, "ok")]
