@@ -2,14 +2,18 @@
 
 Texts at a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average, with a wide spread, so the
 links of one fingerprint within 8 bits lose many of them. Here each text has SEEDS independent
-fingerprints. Each is cut into four blocks, and a pair meets wherever one block of one fingerprint
-has an anchor of both: always if they differ in at most 7 bits there, and mostly if in more. Pairs
-that met are candidates if they differ in at most REACH bits of this and the next fingerprint.
+fingerprints. Two blocks of each are covered by anchors, and a pair meets wherever one block of one
+fingerprint has an anchor of both: at a similarity of 0.8, 0.575 of all pairs meet at any one block
+(measured on random bits), so about 2 of 10,000 meet at none of the ten. Pairs that met are
+candidates if all their fingerprints together differ in at most reach() bits.
 
 Candidates are thinned only by links that passed the Jaccard test: a candidate is left out where its
 texts are in one verified group, or (for now) where others join the same groups. Groups in which a
 test failed are searched again; texts of pairs left out there are searched among themselves, with
 more candidates for each text, until none is left out.
+
+An anchor with more than HOME_ROWS texts at home is dealt in as many parts as that takes: each part
+holds its share of the texts at home and meets all that come to the anchor.
 """
 
 from __future__ import annotations
@@ -24,52 +28,67 @@ from pyspark.sql import functions as F
 
 from .common import by_size, encoded, partitions, rows, saved, written
 from .components import components
-from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, judged
+from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, compared, judged, shingle_sets
 
 SEEDS = 5
-#: Most bits of two fingerprints (128) in which candidates differ; at a similarity of 0.8 it is 19.4 +- 4.1.
-REACH = 28
-#: Candidates for each text and anchor when groups are first searched again; then eight times as many each time.
-FIRST = 16
+#: Share of bits that differ at a similarity of 0.8: the angle of 2J / (1 + J), in half turns.
+DIFFERENT = float(np.arccos(1.6 / 1.8) / np.pi)
+#: Candidates may differ by so many standard deviations more than that.
+DEVIATIONS = 3.0
+#: Candidates for each text and anchor when groups are first searched again; then sixteen times as many each time.
+FIRST = 64
+#: Texts at home that one task holds for an anchor.
+HOME_ROWS = 20_000
 SEEN = [f"seen_{k}" for k in range(SEEDS)]
 MEMBER = "id long, seed int, fingerprint long, check long, label long"
 
 
+def reach(fingerprints: int) -> int:
+    """Most bits in which so many fingerprints of candidates differ: 31 of 128, 67 of 320."""
+    bits = 64 * fingerprints
+    return int(bits * DIFFERENT + DEVIATIONS * (bits * DIFFERENT * (1 - DIFFERENT)) ** 0.5)
+
+
 def four_blocks() -> Cover:
     """Four blocks of 16 bits, each with the anchors of one bit: all pairs within 7 bits meet."""
     return Cover(tuple((Part(16 * k, 16, "golay"),) for k in range(4)), 7)
 
 
+def two_blocks() -> Cover:
+    """Two blocks of 16 bits, each with the anchors of one bit: all pairs within 3 of these 32 bits meet."""
+    return Cover(tuple((Part(16 * k, 16, "golay"),) for k in range(2)), 3)
+
+
 def row_key() -> Column:
-    """Rows are told apart by id and text."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """Rows are told apart by id and text, by a digest without known collisions."""
+    return F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256)
 
 
 def seen(docs: DataFrame, width: int) -> DataFrame:
-    """docs (doc_id, text) -> row, doc_id, content (a hash of the sequence of words) and the fingerprints."""
-    schema = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "content", *SEEN)])
+    """docs (doc_id, text) -> row, doc_id, content (128 bits of hash of the sequence of words) and the fingerprints."""
+    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("content", pa.binary()), *((n, pa.int64()) for n in SEEN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in by_size(b, 2)):
-            found, content = np.zeros((SEEDS, batch.num_rows), np.uint64), np.empty(batch.num_rows, np.uint64)
+            found, content = np.zeros((SEEDS, batch.num_rows), np.uint64), []
             for i, text in enumerate(encoded(batch.column(2))):
                 words = text.lower().split()
                 joined = b" ".join(words)
-                content[i] = xxhash.xxh64_intdigest(joined)
+                content.append(xxhash.xxh3_128_digest(joined))
                 if words:
                     hashes = _hashes(words, joined, width)
                     found[:, i] = [_majority(_mixed(hashes, k)) for k in range(SEEDS)]
-            yield rows(schema, row=batch.column(0), doc_id=batch.column(1).cast(pa.int64()), content=content.view(np.int64), **{n: found[k].view(np.int64) for k, n in enumerate(SEEN)})
+            yield rows(schema, row=batch.column(0).cast(pa.string()), doc_id=batch.column(1).cast(pa.int64()), content=content, **{n: found[k].view(np.int64) for k, n in enumerate(SEEN)})
 
-    return docs.select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    return docs.select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, f"row string, doc_id long, content binary, {', '.join(f'{n} long' for n in SEEN)}")
 
 
 class _Meeting:
     """Finds the candidates of what arrives at one anchor among the texts at home there; those come first."""
 
-    def __init__(self, most: int | None):
-        self.most = most
-        self.home = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
+    def __init__(self, most: int | None, prints: int):
+        self.most, self.reach = most, reach(prints)
+        self.home = np.empty(0, np.int64), np.empty((prints, 0), np.uint64), np.empty(0, np.int64)
         self.root: dict[int, int] = {}
         self.used: dict[int, int] = {}
         self.short: set[int] = set()
@@ -82,25 +101,36 @@ class _Meeting:
     def roots(self, labels: np.ndarray) -> np.ndarray:
         return np.array([self.find(x) for x in labels.tolist()], dtype=np.int64) if self.root else labels
 
-    def add(self, came: tuple[np.ndarray, ...], at_home: np.ndarray, out: list) -> None:
+    def near(self, some: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs within reach, and their bits: all by three fingerprints, those left by the rest."""
+        apart = np.bitwise_count(some[0][:, None] ^ found[0][None, :])
+        for k in range(1, min(3, len(some))):
+            apart += np.bitwise_count(some[k][:, None] ^ found[k][None, :])
+        member, at = np.nonzero(apart <= self.reach)
+        bits = apart[member, at].astype(np.int64)
+        for k in range(3, len(some)):
+            bits += np.bitwise_count(some[k][member] ^ found[k][at])
+        keep = bits <= self.reach
+        return member[keep], at[keep], bits[keep]
+
+    def add(self, came: tuple[np.ndarray, np.ndarray, np.ndarray], at_home: np.ndarray, out: list) -> None:
         if at_home.any():
-            self.home = tuple(np.concatenate([a, b[at_home]]) for a, b in zip(self.home, came))
-        ids, found, check, labels = self.home
+            self.home = tuple(np.concatenate([a, b[..., at_home]], axis=-1) for a, b in zip(self.home, came))
+        ids, found, labels = self.home
         if len(ids) == 0:
             return
         step = 64 if len(ids) > 200 else max(64, 400_000 // len(ids))
         for i in range(0, len(came[0]), step):
-            m_ids, m_found, m_check, m_labels = (x[i : i + step] for x in came)
-            apart = np.bitwise_count(m_found[:, None] ^ found[None, :]) + np.bitwise_count(m_check[:, None] ^ check[None, :])
-            member, at = np.nonzero(apart <= REACH)
+            m_ids, m_found, m_labels = (x[..., i : i + step] for x in came)
+            member, at, bits = self.near(m_found, found)
             keep = m_ids[member] != ids[at]
-            member, at = member[keep], at[keep]
-            if len(member) == 0:
+            if not keep.any():
                 continue
+            member, at, bits = member[keep], at[keep], bits[keep]
             a, b = self.roots(m_labels), self.roots(labels)
             keep = a[member] != b[at]
-            member, at = member[keep], at[keep]
-            order = np.lexsort((ids[at], apart[member, at], member))
+            member, at, bits = member[keep], at[keep], bits[keep]
+            order = np.lexsort((ids[at], bits, member))
             for m, h, x, y in zip(m_ids[member[order]].tolist(), ids[at[order]].tolist(), m_labels[member[order]].tolist(), labels[at[order]].tolist()):
                 if self.most is None:
                     x, y = self.find(x), self.find(y)
@@ -115,94 +145,122 @@ class _Meeting:
                     self.short |= {m, h}
 
 
-def candidates(members: DataFrame, cover: Cover, most: int | None = None) -> DataFrame:
-    """members (MEMBER) -> (a, b, more): pairs of different labels that meet at an anchor. Without
-    most, those alone that join groups there; else up to most for each text and anchor, and for both
-    texts of every pair left out a row (id, id) with more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
-    replica = pa.schema([("block", pa.int32()), ("anchor", pa.int64()), ("away", pa.int32()), *((n, pa.int64()) for n in ("id", "fingerprint", "check", "label"))])
+def _dealt(members: DataFrame, cover: Cover, prints: list[str], within: int) -> DataFrame:
+    """members -> one row for each anchor that a fingerprint is copied to; away is 0 at home."""
+    replica = pa.schema([("block", pa.int32()), ("anchor", pa.int64()), ("away", pa.int32()), *((n, pa.int64()) for n in ("id", "label", *prints))])
 
-    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
-                ids, seed, found, check, label = (x.to_numpy(zero_copy_only=False) for x in batch.slice(i, 2000).columns)
+                seed, ids, label, *found = (x.to_numpy(zero_copy_only=False) for x in batch.slice(i, 2000).columns)
                 for b, parts in enumerate(cover.blocks):
-                    row, key, beyond = anchors(found.view(np.uint64), parts, cover.within)
-                    yield rows(replica, block=(seed[row] * len(cover.blocks) + b).astype(np.int32), anchor=key.view(np.int64), away=(beyond > 0).astype(np.int32), id=ids[row], fingerprint=found[row], check=check[row], label=label[row])
+                    row, key, beyond = anchors(found[0].view(np.uint64), parts, within)
+                    yield rows(replica, block=(seed[row] * len(cover.blocks) + b).astype(np.int32), anchor=key.view(np.int64), away=(beyond > 0).astype(np.int32), id=ids[row], label=label[row], **{n: x[row] for n, x in zip(prints, found)})
+
+    return members.select("seed", "id", "label", *prints).mapInArrow(run, f"block int, anchor long, away int, id long, label long, {', '.join(f'{n} long' for n in prints)}")
+
+
+def candidates(members: DataFrame, cover: Cover, most: int | None = None, home_rows: int = HOME_ROWS) -> DataFrame:
+    """members (MEMBER, any number of check columns) -> (a, b, more): pairs of different labels that
+    meet at an anchor. Without most, those alone that join groups there; else up to most for each
+    text and anchor, and for both texts of every pair left out a row (id, id) with more."""
+    prints = ["fingerprint", *(n for n in members.columns if n.startswith("check"))]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, meeting = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            block, key, away, ids, found, check, label = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            came = (ids, found.view(np.uint64), check.view(np.uint64), label)
+            block, key, part, away, ids, label, *found = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            came = (ids, np.array(found).view(np.uint64), label)
             out: list = []
-            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
             stop = np.r_[start[1:], len(key)]
             for s, e in zip(start.tolist(), stop.tolist()):
-                if (name := (block[s], key[s])) != last:
+                if (name := (block[s], key[s], part[s])) != last:
                     # Those at home come first; with none there, nothing is compared.
-                    last, meeting = name, _Meeting(most) if away[s] == 0 and (e - s > 1 or e == len(key)) else None
+                    last, meeting = name, _Meeting(most, len(prints)) if away[s] == 0 and (e - s > 1 or e == len(key)) else None
                 if meeting is not None:
-                    meeting.add(tuple(x[s:e] for x in came), away[s:e] == 0, out)
+                    meeting.add(tuple(x[..., s:e] for x in came), away[s:e] == 0, out)
             if out:
                 a, b, more = zip(*out)
                 yield rows(schema, a=a, b=b, more=more)
 
     n = partitions(members.sparkSession)
-    dealt = members.mapInArrow(copied, "block int, anchor long, away int, id long, fingerprint long, check long, label long").repartition(n, "block", "anchor").sortWithinPartitions("block", "anchor", "away")
+    parts = F.ceil(F.col("count") / home_rows).cast("int")
+    crowded = _dealt(members, cover, prints, 0).groupBy("block", "anchor").count().where(F.col("count") > home_rows).select("block", "anchor", parts.alias("parts"))
+    dealt = _dealt(members, cover, prints, cover.within).join(crowded, ["block", "anchor"], "left")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    own = F.col("part") == F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("block", "anchor", "part", F.when(own, F.col("away")).otherwise(1).alias("away"), "id", "label", *prints)
+    dealt = dealt.repartition(n, "block", "anchor", "part").sortWithinPartitions("block", "anchor", "part", "away")
     return dealt.mapInArrow(run, "a long, b long, more boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").distinct()
 
 
 def linked(members: DataFrame, docs: DataFrame, width: int, similarity: float, cover: Cover) -> DataFrame:
     """members (id, row, fingerprints), docs (row, text) -> (id, label) of all that are in a group."""
-    seed = F.posexplode(F.array(*(F.struct(F.col(n).alias("fingerprint"), F.col(SEEN[(k + 1) % SEEDS]).alias("check")) for k, n in enumerate(SEEN))))
+
+    def turned(k: int) -> Column:
+        return F.struct(*(F.col(SEEN[(k + j) % SEEDS]).alias(f"check_{j}" if j else "fingerprint") for j in range(SEEDS)))
+
+    seed = F.posexplode(F.array(*(turned(k) for k in range(SEEDS))))
 
     def labelled(of: DataFrame, label: DataFrame | None) -> DataFrame:
         known = of.withColumn("label", F.col("id")) if label is None else of.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        return known.select("id", "label", seed.alias("seed", "x")).select("id", "seed", "x.fingerprint", "x.check", "label")
+        return known.select("id", "label", seed.alias("seed", "x")).select("id", "seed", "label", "x.*")
+
+    def texts(named: DataFrame) -> DataFrame:
+        return docs.join(members.join(named, "id", "left_semi").select("row", F.col("id").alias("doc_id")), "row").select("doc_id", "text")
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.join(members.join(named, "id", "left_semi").select("row", F.col("id").alias("doc_id")), "row").select("doc_id", "text")
-        return judged(pairs, texts, width, similarity)
+        return judged(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), width, similarity)
+
+    def joined(label: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The labels with the links of the pairs: groups are stars already, so few rounds are left."""
+        stars = label.select(F.col("id").alias("a"), F.col("label").alias("b"))
+        return components(stars.unionByName(pairs.where("ok").select("a", "b")))
 
     # The first fingerprint alone, so that the others leave out what it has united.
     known = written(tested(candidates(labelled(members, None).where("seed = 0"), cover).select("a", "b")), "tested")
     label = components(known.where("ok"))
-    known = known.unionByName(written(tested(candidates(labelled(members, label).where("seed > 0"), cover).select("a", "b")), "tested"))
-    label = components(known.where("ok"))
+    fresh = written(tested(candidates(labelled(members, label).where("seed > 0"), cover).select("a", "b")), "tested")
+    label, known = joined(label, fresh), known.unionByName(fresh)
     failed = known.where("not ok")
     if failed.isEmpty():
         return label
     group = saved(components(known).withColumnRenamed("label", "group"))
     again = group.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("group").distinct()
     live = saved(members.join(group.join(again, "group", "left_semi").select("id"), "id", "left_semi"))
+    sets = shingle_sets(texts(live.select("id")), width)
     most, more = FIRST, True
     while more:
         found = written(candidates(labelled(live, label), cover, most), "pairs")
         # Both texts of every pair left out are searched among themselves; all other pairs are known now.
         short = found.where("more").select(F.col("a").alias("id")).distinct()
         more = not short.isEmpty()
-        fresh = found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(written(tested(fresh), "tested"))
-        label = components(known.where("ok"))
+        fresh = written(compared(found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti"), sets, similarity), "tested")
+        label, known = joined(label, fresh), known.unionByName(fresh)
         if more:
             live = saved(live.join(short, "id", "left_semi"))
-        most *= 8
+        most *= 16
     return label
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cover: Cover | None = None) -> DataFrame:
     """docs (doc_id, text) -> (row, doc_id, fingerprint, component_id, kept_row), one row for each row
     of docs with an id: row tells it by id and text, component_id is the smallest id of its group of
-    texts linked by the similarity, and kept_row the row of that id."""
+    texts linked by the similarity, and kept_row the row of that id. Null and blank texts are copies
+    of each other; rows without an id are left out; repeated rows give repeated results; an empty
+    table an empty one; texts of any length count whole."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     found = written(seen(docs, width), "seen")
-    members = written(found.groupBy(F.col("content").alias("id")).agg(F.min("row").alias("row"), *(F.min(n).alias(n) for n in SEEN)), "members")
-    label = linked(members, docs.select(row_key().alias("row"), "text"), width, similarity, cover or four_blocks())
-    named = found.select("row", "doc_id", F.col(SEEN[0]).alias("fingerprint"), F.col("content").alias("id")).join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Numbers are given once and written; members are told apart by 128 bits, so hashes that meet unite nothing.
+    members = found.groupBy("content").agg(F.min("row").alias("row"), *(F.min(n).alias(n) for n in SEEN))
+    members = written(members.withColumn("id", F.monotonically_increasing_id()), "members")
+    label = linked(members.drop("content"), docs.select(row_key().alias("row"), "text"), width, similarity, cover or two_blocks())
+    groups = members.select("content", "id").join(label, "id", "left").select("content", F.coalesce("label", "id").alias("label"))
+    named = found.select("row", "doc_id", F.col(SEEN[0]).alias("fingerprint"), "content").join(groups, "content")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     return named.join(first, "label").select("row", "doc_id", "fingerprint", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row"))

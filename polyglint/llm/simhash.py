@@ -287,6 +287,12 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 
 def judged(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) and ok: whether they have this similarity."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return compared(pairs, shingle_sets(docs.join(named, "doc_id").dropDuplicates(["doc_id"]), width), similarity)
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """docs (doc_id, text) -> a written table (id, shingles): the distinct hashes of each text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -298,9 +304,11 @@ def judged(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
                 out.append(found.view(np.int64))
             yield rows(schema, id=batch.column(0), shingles=out)
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(named, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
-    sets = written(sets, "shingles")
+    return written(docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>"), "shingles")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) and ok, by their texts' shingle_sets."""
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))

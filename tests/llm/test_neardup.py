@@ -1,4 +1,9 @@
+import os
 import random
+from collections import Counter
+from itertools import combinations
+
+import pytest
 
 from polyglint.llm import neardup, simhash
 
@@ -75,3 +80,38 @@ def test_candidates_are_limited_and_say_so(spark):
     whole = neardup.candidates(spark.createDataFrame(rows, neardup.MEMBER), neardup.four_blocks(), 1000).collect()
     assert not any(x.more for x in whole) and len(whole) == 40 * 39 // 2
     assert isinstance(simhash.wide_cover(8), simhash.Cover)
+
+
+def test_crowded_anchors_are_dealt_in_parts_and_lose_nothing(spark):
+    """All 40 fingerprints lie within six bits, so they crowd the same anchors."""
+    rows = [member(i, i) for i in range(40)]
+    of = spark.createDataFrame(rows, neardup.MEMBER)
+    whole, dealt = ({(x.a, x.b) for x in neardup.candidates(of, neardup.two_blocks(), 1000, home_rows=n).collect()} for n in (1000, 7))
+    assert whole == dealt and len(whole) == 40 * 39 // 2
+
+
+def test_hashes_of_64_bits_that_meet_unite_nothing(spark):
+    """Members with equal fingerprints are different texts until their shingles are compared."""
+    docs = documents(spark, [(1, "a b c d e f", "en", "s", 0), (2, "g h i j k l", "en", "s", 0), (3, "a b c d e f", "en", "t", 0)])
+    members = spark.createDataFrame([(i, i, *[9] * neardup.SEEDS) for i in (1, 2, 3)], f"id long, row long, {', '.join(f'{n} long' for n in neardup.SEEN)}")
+    label = neardup.linked(members, docs.selectExpr("doc_id row", "text"), 5, 0.8, neardup.two_blocks())
+    assert {r.id: r.label for r in label.collect()} == {1: 1, 3: 1}
+
+
+def test_recall_against_all_pairs_of_the_documents(spark):
+    """Every pair of different texts at 0.8 or more, found through their common shingles, is looked for."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are absent")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    of, where = {i: shingles(t) for i, t in texts.items()}, {}
+    for i, found in of.items():
+        for x in found:
+            where.setdefault(x, []).append(i)
+    shared = Counter(p for ids in where.values() for p in combinations(sorted(ids), 2))
+    close = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(of[a]) + len(of[b]) - n)}
+    group = {r.doc_id: r.component_id for r in neardup.near_copies(docs).collect()}
+    assert len(close) > 50 and sum(group[a] == group[b] for a, b in close) >= 0.98 * len(close)
+    united = [(a, b) for b, a in group.items() if a != b]
+    assert all(any(b in p and group[p[0]] == group[p[1]] for p in close) for _, b in united)
