@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,6 +96,13 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
+def row_digest() -> Column:
+    """Digest of a row's doc_id and text, by which rows are told apart. A null id is like no other, a
+    null text like an empty one."""
+    name = F.col("doc_id").cast("string")
+    return F.sha2(F.concat_ws(":", F.coalesce(F.length(name), F.lit(-1)).cast("string"), name, F.coalesce("text", F.lit(""))), 256)
+
+
 def held_out(doc_id, modulus: int, rest: int):
     """Whether crc32 of the id's decimal text leaves the given remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))

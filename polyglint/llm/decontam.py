@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, row_digest, saved
 
 #: Most distinct windows that are sent to every task as a set; beyond it, as a bit field.
 SET_ROWS = 50_000
@@ -35,14 +35,10 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return saved(found)
 
 
-def _row() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def _scanned(docs: DataFrame, found: DataFrame, set_rows: int) -> DataFrame:
-    """doc_id, row (a hash of the row), n_words and met: places whose hash is that of some window."""
+    """doc_id, row (a digest of the row's id and text), n_words and met: places whose hash is that of some window."""
     lengths = sorted(r["length"] for r in found.select("length").distinct().toLocalIterator())
-    base = docs.select("doc_id", _row().alias("row"), words_of(F.col("text")).alias("w"))
+    base = docs.select("doc_id", row_digest().alias("row"), words_of(F.col("text")).alias("w"))
     empty = "cast(array() as array<struct<pos:int,length:int,window:string>>)"
     if not lengths or found.count() <= set_rows:
         parts = [empty]
@@ -122,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     found = windows(benchmark, size)
     # Saved before it is filtered: a filter pushed below would split the text anew for every window.
     hit = saved(_confirmed(saved(_scanned(docs, found, set_rows)), found, set_rows))
-    marked = docs.withColumn("__row", _row())
+    marked = docs.withColumn("__row", row_digest())
     if remove == "documents":
         return marked.join(hit.select(F.col("row").alias("__row")), "__row", "left_anti").drop("__row")
     joined = marked.join(hit.select(F.col("row").alias("__row"), F.col("covered").alias("__covered")), "__row", "left")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, encoded, partitions, rows, saved, written
+from .common import by_size, encoded, partitions, row_digest, rows, saved, written
 from .components import components
 from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, compared, judged, shingle_sets
 
@@ -59,11 +59,6 @@ def two_blocks() -> Cover:
     return Cover(tuple((Part(16 * k, 16, "golay"),) for k in range(2)), 3)
 
 
-def row_key() -> Column:
-    """Rows are told apart by id and text, by a digest without known collisions."""
-    return F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256)
-
-
 def seen(docs: DataFrame, width: int) -> DataFrame:
     """docs (doc_id, text) -> row, doc_id, content (128 bits of hash of the sequence of words) and the fingerprints."""
     schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("content", pa.binary()), *((n, pa.int64()) for n in SEEN)])
@@ -80,7 +75,7 @@ def seen(docs: DataFrame, width: int) -> DataFrame:
                     found[:, i] = [_majority(_mixed(hashes, k)) for k in range(SEEDS)]
             yield rows(schema, row=batch.column(0).cast(pa.string()), doc_id=batch.column(1).cast(pa.int64()), content=content, **{n: found[k].view(np.int64) for k, n in enumerate(SEEN)})
 
-    return docs.select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, f"row string, doc_id long, content binary, {', '.join(f'{n} long' for n in SEEN)}")
+    return docs.select(row_digest().alias("row"), "doc_id", "text").mapInArrow(run, f"row string, doc_id long, content binary, {', '.join(f'{n} long' for n in SEEN)}")
 
 
 class _Meeting:
@@ -259,7 +254,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cover:
     # Numbers are given once and written; members are told apart by 128 bits, so hashes that meet unite nothing.
     members = found.groupBy("content").agg(F.min("row").alias("row"), *(F.min(n).alias(n) for n in SEEN))
     members = written(members.withColumn("id", F.monotonically_increasing_id()), "members")
-    label = linked(members.drop("content"), docs.select(row_key().alias("row"), "text"), width, similarity, cover or two_blocks())
+    label = linked(members.drop("content"), docs.select(row_digest().alias("row"), "text"), width, similarity, cover or two_blocks())
     groups = members.select("content", "id").join(label, "id", "left").select("content", F.coalesce("label", "id").alias("label"))
     named = found.select("row", "doc_id", F.col(SEEN[0]).alias("fingerprint"), "content").join(groups, "content")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))

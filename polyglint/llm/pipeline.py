@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import bpe, decontam, linededup, neardup, toxicity
-from .common import fresh_path
+from .common import fresh_path, row_digest
 from .queries import tokenizer_path
 
 
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     copies; rows without an id stay."""
     found = neardup.near_copies(docs.select("doc_id", "text"), width=5, similarity=0.8)
     gone = found.where("row <> kept_row").select(F.col("row").alias("__row")).distinct()
-    kept = docs.withColumn("__row", neardup.row_key()).join(gone, "__row", "left_anti")
+    kept = docs.withColumn("__row", row_digest()).join(gone, "__row", "left_anti")
     again = found.where("row = kept_row").groupBy("row").count().where("count > 1")
     if not again.isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["__row"]).unionByName(kept.where("doc_id is null"))

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from polyglint.llm import neardup, simhash
+from polyglint.llm.common import row_digest
 
 from .cases import documents
 
@@ -90,6 +91,12 @@ def test_crowded_anchors_are_dealt_in_parts_and_lose_nothing(spark):
     assert whole == dealt and len(whole) == 40 * 39 // 2
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rows = [(None, "1:5:abc", "", "", 0), (5, "abc", "", "", 0), (None, "abc", "", "", 0), (5, None, "", "", 0), (5, "", "", "", 0)]
+    got = [r[0] for r in documents(spark, rows).select(row_digest()).collect()]
+    assert len(set(got)) == 4 and got.count(documents(spark, rows[4:]).select(row_digest()).first()[0]) == 2
+
+
 def test_hashes_of_64_bits_that_meet_unite_nothing(spark):
     """Members with equal fingerprints are different texts until their shingles are compared."""
     docs = documents(spark, [(1, "a b c d e f", "en", "s", 0), (2, "g h i j k l", "en", "s", 0), (3, "a b c d e f", "en", "t", 0)])
