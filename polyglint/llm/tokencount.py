@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, encoded, fresh_path, rows, saved
+from .common import by_size, encoded, rows, saved, shared_dir
 
 #: Rows of the list of repeated contents that is broadcast at most; beyond it, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
@@ -93,17 +93,21 @@ def stored(spark, cache: str) -> DataFrame:
     return spark.createDataFrame([], CACHE)
 
 
+def default_cache(spark, version: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/token-counts/{version}"
+
+
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, n_bytes, n_tokens, over_limit), one row for each row of docs.
 
-    cache is a parquet folder that is read and appended to (by default a new one in the shared
-    folder). Null texts count as empty: 0 bytes, 0 tokens. Texts that differ in ASCII white space
+    cache is a parquet folder that is read and appended to; by default token-counts/<version of the
+    tokenizer> in the shared folder, so that later runs encode only texts that no earlier one met. Null texts count as empty: 0 bytes, 0 tokens. Texts that differ in ASCII white space
     alone share a digest if the tokenizer drops white space. Repeated rows repeat in the result; an
     empty table gives an empty one.
     """
     spark = docs.sparkSession
     version, same = version_of(path), load(path).chunks
-    cache = cache or fresh_path(spark, "token-counts")
+    cache = cache or default_cache(spark, version)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     content = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if same else text
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.sha2((F.trim(content) if same else content).cast("binary"), 256).alias("digest"))

@@ -82,6 +82,17 @@ def test_cache_is_used_and_appended_to(spark, tmp_path, monkeypatch):
     assert {r.n_tokens for r in tokencount.token_counts(docs, BYTES, changed).collect()}.isdisjoint({r.n_tokens for r in again})
 
 
+def test_a_second_run_of_the_query_encodes_nothing(spark, tmp_path):
+    from polyglint.llm.queries import op4_token_counts
+
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    cache = tokencount.default_cache(spark, tokencount.version_of(WORDS))
+    first = sorted(map(tuple, op4_token_counts(spark, str(tmp_path)).collect()), key=str)
+    n = tokencount.stored(spark, cache).count()
+    again = sorted(map(tuple, op4_token_counts(spark, str(tmp_path)).collect()), key=str)
+    assert first == again and n > 0 and tokencount.stored(spark, cache).count() == n
+
+
 def test_other_kinds_of_tokenizer_files_are_refused(tmp_path):
     import json
 
