@@ -1,8 +1,11 @@
 """Document fingerprints by threshold-scaled sketches, with built-in functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (and the smallest hash
-where none is below, so no text is without one). Sketches of parts unite to the sketch of the whole,
-and shares of common hashes estimate likeness and containment of texts of very unequal length.
+A sketch keeps every shingle hash below a fixed fraction of the hash range; where these are fewer
+than LEAST, the LEAST smallest, or all there are. So the sketch of a short text is whole, and what a
+sketch holds tells up to which hash it is complete (upto). Sketches of parts unite to the sketch of
+the whole. Two sketches are compared up to the bound that both are complete to: shares of common
+hashes there estimate likeness and containment of texts of very unequal length. A short text with no
+hash below a long one's bound has no estimate beside it; its likeness counts as 0.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 SEED_LOW = -(2**63)
+#: Fewest hashes of a sketch, where the text has as many.
+LEAST = 16
 
 
 def limit_of(scale: int) -> int:
@@ -22,7 +27,7 @@ def limit_of(scale: int) -> int:
 
 def with_sketch(docs: DataFrame, text: str, out: str, width: int = 5, scale: int = 8) -> DataFrame:
     """docs and a column out: the sorted distinct shingle hashes of the column text below the
-    threshold, or the smallest one where none is. A shingle is `width` words (ASCII white space
+    threshold, or the LEAST smallest where fewer are. A shingle is `width` words (ASCII white space
     splits, A-Z lower-cased), or the whole text where it has fewer.
 
     Words, hashes and kept hashes are columns one after another, so that each is computed once.
@@ -31,8 +36,8 @@ def with_sketch(docs: DataFrame, text: str, out: str, width: int = 5, scale: int
     words = F.filter(F.split(ascii_lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - F.lit(width - 1), F.lit(1)))
     low = F.filter("__h", lambda h: h <= F.lit(limit_of(scale)))
-    made = docs.withColumn("__w", words).withColumn("__h", F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, F.lit(width))))).withColumn("__low", low)
-    chosen = F.when(F.size("__low") > 0, F.array_sort(F.array_distinct("__low"))).otherwise(F.array(F.array_min("__h")))
+    made = docs.withColumn("__w", words).withColumn("__h", F.transform(starts, lambda i: F.xxhash64(F.slice("__w", i, F.lit(width))))).withColumn("__low", F.array_distinct(low))
+    chosen = F.when(F.size("__low") >= LEAST, F.array_sort("__low")).otherwise(F.slice(F.array_sort(F.array_distinct("__h")), 1, LEAST))
     return made.select(*kept, chosen.alias(out))
 
 
@@ -40,17 +45,30 @@ def merged(a: Column, b: Column, scale: int = 8) -> Column:
     """The sketch of two texts' shingles together."""
     both = F.array_sort(F.array_union(a, b))
     low = F.filter(both, lambda h: h <= F.lit(limit_of(scale)))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return F.when(F.size(low) >= LEAST, low).otherwise(F.slice(both, 1, LEAST))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def upto(a: Column, scale: int = 8) -> Column:
+    """The largest hash that a sketch is complete to: any, where it holds all of a short text's."""
+    return F.when(F.size(a) < LEAST, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(limit_of(scale)), F.element_at(a, -1)))
+
+
+def _common(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """Both sketches up to the bound that both are complete to."""
+    bound = F.least(upto(a, scale), upto(b, scale))
+    return F.filter(a, lambda h: h <= bound), F.filter(b, lambda h: h <= bound)
+
+
+def likeness(a: Column, b: Column, scale: int = 8) -> Column:
     """Estimate of the Jaccard similarity of the shingles, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    a, b = _common(a, b, scale)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = 8) -> Column:
     """Estimate of the share of a's shingles that b has."""
-    return F.size(F.array_intersect(a, b)) / F.size(a)
+    a, b = _common(a, b, scale)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)), F.lit(0.0))
 
 
 def printed(a: Column) -> Column:
@@ -122,6 +140,6 @@ def fingerprints(docs: DataFrame, width: int = 5, scale: int = 8) -> DataFrame:
     return made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         printed(F.col("sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), scale).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), scale).alias("near_next"),
         F.size("sketch").cast("long").alias("n_hashes"),
     )

@@ -51,6 +51,30 @@ def test_sketches_keep_a_fixed_fraction_and_merge(spark):
     assert [x for x in r.m if x <= low] == r.s_ab and r.in_whole > 0.99
 
 
+def test_likeness_of_short_texts_is_exact_and_of_longer_ones_close(spark):
+    """Texts of up to 16 shingles have whole sketches; those of up to some 128 the 16 smallest hashes."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    pairs = []
+    for i in range(60):
+        w = prose(700 + i, 6 + i).split()
+        pairs.append((i, " ".join(w), " ".join(w[: len(w) - 1 - i // 8] + ["other"])))
+    df = spark.createDataFrame(pairs, "i long, a string, b string")
+    for name in ("a", "b"):
+        df = fracsketch.with_sketch(df, name, f"s_{name}")
+    got = {r.i: r for r in df.select("i", "s_a", "s_b", fracsketch.likeness(F.col("s_a"), F.col("s_b")).alias("near"), fracsketch.containment(F.col("s_b"), F.col("s_a")).alias("held")).collect()}
+    for i, a, b in pairs:
+        a, b = shingles(a), shingles(b)
+        if max(len(a), len(b)) < 16:
+            assert got[i].near == pytest.approx(len(a & b) / len(a | b)) and got[i].held == pytest.approx(len(a & b) / len(b))
+        else:
+            assert abs(got[i].near - len(a & b) / len(a | b)) < 0.5 and len(got[i].s_a) >= 16
+    late = [abs(got[i].near - len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))) for i, a, b in pairs[20:]]
+    assert sum(late) / len(late) < 0.12 and all(r.near > 0 for r in got.values() if r.i >= 8)
+
+
 def test_neighbours_over_many_ranges_ties_and_wrap(spark):
     ids = [-5, -5, 0, 3, 4, 1000, 100000, 100001, 5_000_000]
     docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
