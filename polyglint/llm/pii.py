@@ -4,10 +4,13 @@ Direct identifiers (email, IP address, card and phone numbers) are found by patt
 tokens, passwords) by the information they hold: unbroken runs of letters and digits of at least
 Settings.secret bits a character. Both are the protected entities. A second pass estimates from the
 corpus how strongly a term reveals one of them, or that one of a kind follows (which is counted as an
-entity named like the kind): with d(e) documents with an entity, d(t) with a term and d(t, e) with t
+entity named like the kind), or one of those that share a part (mail domain, network, first digits;
+Settings.parts): with d(e) documents with an entity, d(t) with a term and d(t, e) with t
 near e, of N in all, the term discloses log2(d(t, e) * N / (d(t) * d(e))) bits about e and names it
 with the probability d(t, e) / d(t). All these count documents. So that copies of one text are no
-evidence, t must be in several different contexts of e. Terms beyond both thresholds are spans of the
+evidence, t must be in several different contexts of e. Terms are words and, with Settings.phrases,
+pairs of words that follow each other; a pair counts only where it discloses more than either of its
+words. Terms beyond both thresholds are spans of the
 kind "term" wherever they stand, and are generalised or removed like the others.
 
 Matching takes time in proportion to the text: no run of digits, letters or signs is read again from
@@ -40,7 +43,7 @@ HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,128}+(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])")
 DIGIT, NUMBERS = re.compile("[0-9]"), re.compile("[^0-9]+")
 WORD = re.compile(r"[^\W_]+")
 
@@ -52,7 +55,8 @@ class Settings:
     for all entities of a kind.
     bits: least disclosure. share: least probability of the entity given the term. secret: bits a
     character that make a run of letters and digits a secret. broadcast_rows: most terms that are
-    sent to all tasks; beyond it, terms are joined with the documents' words."""
+    sent to all tasks; beyond it, terms are joined with the documents' words. parts: entities that
+    share a part count together too, with the support of an entity. phrases: pairs of words are terms too."""
 
     near: int = 5
     support: int = 2
@@ -61,6 +65,8 @@ class Settings:
     share: float = 0.5
     secret: float = 3.0
     broadcast_rows: int = 200_000
+    parts: bool = False
+    phrases: bool = False
 
 
 def luhn(digits: str) -> bool:
@@ -119,20 +125,36 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else NUMBERS.sub('', value)}"
 
 
-def contexts(text: str, found: list[tuple[int, int, int]], near: int) -> dict[str, dict[int, list[str]]]:
-    """Entity (and kind) -> its contexts in a text: hash of the words around -> those that can be
-    terms. Words that overlap an identifier are in no context."""
+def shared_parts(kind: int, value: str) -> list[str]:
+    """Names of what an entity has in common with others: an address's mail domain, the first three
+    numbers of an IP address, a phone number without its last four digits, a card's first six."""
+    if kind == 0:
+        return [f"domain:{value.rsplit('@', 1)[1].lower()}"]
+    if kind == 1:
+        return [f"network:{value.rsplit('.', 1)[0]}"]
+    digits = NUMBERS.sub("", value)
+    return [f"issuer:{digits[:6]}"] if kind == 2 else [f"exchange:{digits[:-4]}"] if kind == 3 else []
+
+
+def contexts(text: str, found: list[tuple[int, int, int]], near: int, parts: bool = False, phrases: bool = False) -> dict[str, dict[int, list[str]]]:
+    """Entity (and kind, and parts) -> its contexts in a text: hash of the words around -> those (and
+    pairs of them) that can be terms. Words that overlap an identifier are in no context."""
     at = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), dtype=np.int64).reshape(-1, 2)
     starts, ends = np.array([a for a, _, _ in found]), np.maximum.accumulate([b for _, b, _ in found])
     k = np.searchsorted(starts, at[:, 1], "left")
-    at = at[(k == 0) | (ends[np.maximum(k - 1, 0)] <= at[:, 0])]
+    place = np.flatnonzero((k == 0) | (ends[np.maximum(k - 1, 0)] <= at[:, 0]))
+    at = at[place]
     of: dict[str, dict[int, list[str]]] = {}
     for a, b, kind in found:
         i, j = np.searchsorted(at[:, 0], (a, b))
         words = [text[x:y].lower() for x, y in at[max(i - near, 0) : i].tolist() + at[j : j + near].tolist()]
         context = xxhash.xxh64_intdigest("\0".join(words)) >> 1
-        terms = sorted({w for w in words if not w.isdigit()})
-        for name in (entity(kind, text[a:b]), ALL_KINDS[kind]):
+        terms = {w for w in words if not w.isdigit()}
+        if phrases:
+            of_words = np.r_[place[max(i - near, 0) : i], place[j : j + near]].tolist()
+            terms |= {f"{v} {w}" for v, w, x, y in zip(words, words[1:], of_words, of_words[1:]) if y == x + 1 and not v.isdigit() and not w.isdigit()}
+        terms = sorted(terms)
+        for name in (entity(kind, text[a:b]), ALL_KINDS[kind], *(shared_parts(kind, text[a:b]) if parts else ())):
             of.setdefault(name, {})[context] = terms
     return of
 
@@ -154,7 +176,7 @@ def disclosing(docs: DataFrame, s: Settings) -> DataFrame:
             count: dict[tuple[str, str], list] = {}
             for text in strings(batch.column(0)):
                 if found := direct(text, s.secret):
-                    for e, of in contexts(text, found, s.near).items():
+                    for e, of in contexts(text, found, s.near, s.parts, s.phrases).items():
                         place = hashlib.sha256(",".join(map(str, sorted(of))).encode()).hexdigest()
                         count.setdefault((e, place), [of, 0])[1] += 1
             if count:
@@ -177,19 +199,31 @@ def disclosing(docs: DataFrame, s: Settings) -> DataFrame:
     if n_terms == 0:
         none = F.lit(0).cast("long")
         return both.select("term", "entity", "n_both", none.alias("n_term"), none.alias("n_entity"), none.alias("d_both"), none.alias("d_entity"), F.lit(0.0).alias("bits"))
-    n_term = frequencies(docs, terms, n_terms <= s.broadcast_rows)
+    n_term = frequencies(docs, terms, n_terms <= s.broadcast_rows, s.phrases)
     all_ = both.join(n_term, "term").join(near, ["entity", "term"]).join(of_entity, "entity")
     all_ = all_.where(F.col("d_both") >= enough)
     bits = F.log2(F.col("d_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("d_entity")))
-    return all_.withColumn("bits", bits).where((F.col("bits") >= s.bits) & (F.col("d_both") >= s.share * F.col("n_term"))).select("term", "entity", "n_both", "n_term", "n_entity", "d_both", "d_entity", "bits")
-
-
-def words_of(text: str) -> set[str]:
-    """The distinct words of a text; each is lowered alone, as contexts and spans do."""
-    return {w.lower() for w in set(WORD.findall(text))}
-
-
-def frequencies(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    beyond = all_.withColumn("bits", bits).where((F.col("bits") >= s.bits) & (F.col("d_both") >= s.share * F.col("n_term"))).select("term", "entity", "n_both", "n_term", "n_entity", "d_both", "d_entity", "bits")
+    if not s.phrases:
+        return beyond
+    # A pair of words that discloses no more than one of its words is left to that word.
+    beyond = saved(beyond)
+    word = beyond.where("not contains(term, ' ')").select("entity", F.col("term").alias("w"), F.col("bits").alias("by_word"))
+    pairs = beyond.where("contains(term, ' ')").select("entity", "term", "bits", F.explode(F.split("term", " ")).alias("w"))
+    weaker = pairs.join(word, ["entity", "w"]).where("by_word >= bits").select("entity", "term")
+    return beyond.join(weaker, ["entity", "term"], "left_anti").select(beyond.columns)
+
+
+def words_of(text: str, phrases: bool = False) -> set[str]:
+    """The distinct words of a text, and the pairs of words that follow each other; each word is
+    lowered alone, as contexts and spans do."""
+    if not phrases:
+        return {w.lower() for w in set(WORD.findall(text))}
+    words = [w.lower() for w in WORD.findall(text)]
+    return set(words).union(f"{v} {w}" for v, w in zip(words, words[1:]))
+
+
+def frequencies(docs: DataFrame, terms: DataFrame, small: bool, phrases: bool = False) -> DataFrame:
     """(term, n_term): the number of rows of docs with each of the terms."""
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
     known = docs.sparkSession.sparkContext.broadcast({r["term"] for r in terms.toLocalIterator()}) if small else None
@@ -199,7 +233,7 @@ def frequencies(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
         wanted = known.value if known is not None else None
         for batch in (x for b in batches for x in by_size(b, 0)):
             for text in strings(batch.column(0)):
-                words = words_of(text)
+                words = words_of(text, phrases)
                 count.update(words if wanted is None else words & wanted)
             if len(count) > 200_000:
                 yield rows(schema, term=list(count), n=list(count.values()))
@@ -213,15 +247,18 @@ def frequencies(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
 SPANS = "spans array<struct<start:int,end:int,kind:string>>"
 
 
-def spans_of(text: str, terms, secret: float) -> list[tuple[int, int, int]]:
+def spans_of(text: str, terms, secret: float, phrases: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, kind's index) of direct identifiers, secrets and terms, by start, then kind."""
     found = direct(text, secret)
-    if terms and not terms.isdisjoint(words_of(text)):
+    if terms and not terms.isdisjoint(words_of(text, phrases)):
         starts, ends = [a for a, _, _ in found], np.maximum.accumulate([b for _, b, _ in found]) if found else ()
-        own = [m.span() for m in WORD.finditer(text) if m[0].lower() in terms]
+        words = [(*m.span(), m[0].lower()) for m in WORD.finditer(text)]
+        own = [(a, b) for a, b, w in words if w in terms]
+        if phrases:
+            own += [(a, b) for (a, _, v), (_, b, w) in zip(words, words[1:]) if f"{v} {w}" in terms]
         k = np.searchsorted(starts, [b for _, b in own], "left")
         found += [(a, b, 5) for (a, b), n in zip(own, k.tolist()) if n == 0 or ends[n - 1] <= a]
-        found.sort(key=lambda x: (x[0], x[2]))
+        found.sort(key=lambda x: (x[0], x[2], x[1]))
     return found
 
 
@@ -254,7 +291,7 @@ def find_personal_data(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch], terms_of) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in by_size(b, at)):
-            found = [spans_of(text, terms, s.secret) for text, terms in zip(strings(batch.column(at)), terms_of(batch))]
+            found = [spans_of(text, terms, s.secret, s.phrases) for text, terms in zip(strings(batch.column(at)), terms_of(batch))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), span_lists(found)], names=[*kept, "spans"])
 
     if small:
@@ -266,7 +303,7 @@ def find_personal_data(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         out = pa.schema([("row", pa.string()), ("term", pa.string())])
         for batch in (x for b in batches for x in by_size(b, 0)):
             for text in strings(batch.column(0)):
-                own = words_of(text)
+                own = words_of(text, s.phrases)
                 yield rows(out, row=[hashlib.sha256(text.encode()).hexdigest()] * len(own), term=sorted(own))
 
     pairs = docs.select("text").mapInArrow(words, "row string, term string").distinct().join(terms, "term")

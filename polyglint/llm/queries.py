@@ -75,7 +75,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.Settings(parts=True, phrases=True))
     printed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

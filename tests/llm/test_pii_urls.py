@@ -70,6 +70,35 @@ def test_secrets_are_runs_of_much_information():
     assert pii.direct(f"x {key}") == [] and 3.0 < pii.bits_per_character(key) and pii.bits_per_character(word) > 3.0
 
 
+@pytest.mark.parametrize("size", [16, 128, 129, 5_000])
+def test_secrets_have_no_longest_length(size):
+    key = hashlib.shake_256(b"key").hexdigest(size)[:size]
+    assert [(a, b) for a, b, _ in pii.direct(f"x {key}.", 3.0)] == [(2, 2 + size)]
+
+
+def test_parts_that_entities_share():
+    assert pii.shared_parts(0, "A@Mail.Example.com") == ["domain:mail.example.com"] and pii.shared_parts(1, "10.0.7.1") == ["network:10.0.7"]
+    assert pii.shared_parts(2, "4111 1111 1111 1111") == ["issuer:411111"] and pii.shared_parts(3, "+1 (030) 555-1234") == ["exchange:1030555"] and pii.shared_parts(4, "x") == []
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_pairs_of_words_and_shared_parts_disclose(spark, sent):
+    """"red" and "falcon" occur alone often, together only near addresses of one domain; so does "gazebo"."""
+    rows = [f"{prose(i, 8)} red falcon gazebo asks u{i}@hidden.example.com {prose(i + 40, 8)}" for i in range(6)]
+    rows += [f"{prose(100 + i, 8)} {w} {prose(140 + i, 8)}" for i in range(40) for w in ("red", "falcon")]
+    rows += [f"{prose(200 + i, 20)} v{i}@open{i}.example.com" for i in range(20)] + [prose(300 + i, 30) for i in range(200)] + ["a red, falcon flew", None, ""]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(rows)])
+    s = pii.Settings(parts=True, phrases=True, broadcast_rows=sent)
+    found = {(r.term, r.entity): r for r in pii.disclosing(docs, s).collect()}
+    r = found["red falcon", "domain:hidden.example.com"]
+    assert (r.n_both, r.d_both, r.n_term, r.d_entity) == (6, 6, 7, 6) and abs(r.bits - math.log2(6 * len(rows) / 42)) < 1e-9
+    assert ("gazebo", "domain:hidden.example.com") in found and ("falcon gazebo", "domain:hidden.example.com") not in found
+    assert not any(t in ("red", "falcon") for t, _ in found)
+    spans = {x.doc_id: [(y.start, y.end, y.kind) for y in x.spans] for x in pii.find_personal_data(docs, s).collect()}
+    assert spans[len(rows) - 3] == [(2, 13, "term")] and spans[len(rows) - 1] == []
+    assert pii.disclosing(docs, pii.Settings(broadcast_rows=sent)).where("entity like 'domain%' or term like '% %'").isEmpty()
+
+
 def test_the_measure_is_its_definition(spark):
     """All numbers of the measure against counts made one by one."""
     r = random.Random(5)
