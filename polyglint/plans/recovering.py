@@ -1,4 +1,4 @@
-"""Queries of recovered batches: public candidates, shards, ruby, attempt windows and logs."""
+"""Queries of recovered batches: public candidates, shards, ruby, speakers, attempt windows and logs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import candidate, overlay, projections, ruby, shards, staging
+from ..operators import candidate, overlay, projections, ruby, shards, speakers, staging
 from ..session import shared_folder
 from ..streaming import stateful
 from .publishing import ADMITTED
@@ -180,3 +180,30 @@ def q10_stream_log(t: Tables) -> DataFrame:
     events = _event_stream(t).select(F.col("user_id").alias("room"), week.alias("epoch"), kind.alias("kind"), F.col("event_id").alias("ord"), payload.alias("payload"), digest.alias("digest"))
     found = stateful.collected(stateful.room_log(events, every=5), shared_folder(t.spark, "log"))
     return found.select(F.col("room").cast("bigint").alias("user_id"), F.col("ord").alias("event_id"), "outcome", "seq", "body")
+
+
+@query("""
+s AS (SELECT c_custkey, c_custkey % 40 AS model, CASE c_custkey % 9 WHEN 0 THEN a.n_name WHEN 1 THEN a.n_name || 'の' || c_mktsegment WHEN 2 THEN c_mktsegment || '・' || a.n_name || 'の友' WHEN 3 THEN c_mktsegment || '＆' || a.n_name || '・x'
+  WHEN 4 THEN '？' || repeat('?', c_custkey % 3) WHEN 5 THEN a.n_name || '＆' || b.n_name WHEN 6 THEN c_name WHEN 7 THEN c_mktsegment || '・x＆' || b.n_name || 'の' || a.n_name END AS speaker
+  FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = (c_nationkey + 7) % 25),
+m AS (SELECT s_suppkey AS model, min(s_nationkey) AS i FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1),
+p AS (SELECT c_custkey, sep, unnest(range(1, len(l) + 1)) AS k, l FROM (SELECT c_custkey, sep, string_split(speaker, mark) AS l FROM s, (VALUES (1, '・'), (2, '＆')) v(sep, mark) WHERE contains(speaker, mark))),
+h AS (SELECT c_custkey, sep, k, min(n_nationkey) AS i FROM p JOIN nation ON l[k] = n_name OR starts_with(l[k], n_name || 'の') GROUP BY ALL),
+f AS (SELECT c_custkey, arg_min(i, sep * 1000 + k) AS i FROM h GROUP BY 1),
+w AS (SELECT c_custkey, min(n_nationkey) AS i FROM s JOIN nation ON speaker = n_name OR starts_with(speaker, n_name || 'の') GROUP BY 1),
+g AS (SELECT c_custkey, speaker, trim(coalesce(speaker, ''), '？?') = '' AS unknown, e.n_nationkey AS exact, m.i AS by_model, f.i AS by_part, w.i AS by_prefix FROM s LEFT JOIN nation e ON e.n_name = speaker LEFT JOIN m USING (model) LEFT JOIN f USING (c_custkey) LEFT JOIN w USING (c_custkey))
+SELECT c_custkey, speaker, CASE WHEN NOT unknown THEN coalesce(exact, by_model, by_part, by_prefix) END AS n_nationkey,
+  CASE WHEN unknown THEN NULL WHEN exact IS NOT NULL THEN 'exact' WHEN by_model IS NOT NULL THEN 'model' WHEN by_part IS NOT NULL THEN 'part' WHEN by_prefix IS NOT NULL THEN 'prefix' END AS rule FROM g""")
+def f39_speakers(t: Tables) -> DataFrame:
+    """speakers made of the customers' nations and segments, resolved to nations; suppliers are the models."""
+    k, text = F.col("c_custkey"), F.col
+    after = t.nation.select(((F.col("n_nationkey") + 18) % 25).alias("c_nationkey"), F.col("n_name").alias("other"))
+    own = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("own"))
+    forms = [
+        text("own"), F.concat("own", F.lit("の"), "c_mktsegment"), F.concat("c_mktsegment", F.lit("・"), "own", F.lit("の友")), F.concat("c_mktsegment", F.lit("＆"), "own", F.lit("・x")),
+        F.concat(F.lit("？"), F.repeat(F.lit("?"), (k % 3).cast("int"))), F.concat("own", F.lit("＆"), "other"), text("c_name"), F.concat("c_mktsegment", F.lit("・x＆"), "other", F.lit("の"), "own"), F.lit(None).cast("string"),
+    ]
+    lines = t.customer.join(own, "c_nationkey").join(after, "c_nationkey").select("c_custkey", F.element_at(F.array(*forms), (k % 9 + 1).cast("int")).alias("speaker"), (k % 40).alias("model"))
+    models = t.supplier.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("model"), F.col("s_nationkey").alias("index"))
+    found = speakers.resolved(lines, t.nation.select(F.col("n_nationkey").alias("index"), F.col("n_name").alias("name")), models)
+    return found.select("c_custkey", "speaker", F.col("index").alias("n_nationkey"), "rule")
