@@ -185,6 +185,8 @@ def candidates(members: DataFrame, cover: Cover, most: int | None = None, home_r
     n = partitions(members.sparkSession)
     parts = F.ceil(F.col("count") / home_rows).cast("int")
     crowded = _dealt(members, cover, prints, 0).groupBy("block", "anchor").count().where(F.col("count") > home_rows).select("block", "anchor", parts.alias("parts"))
+    # Written first: few rows, mostly none, whose size is known when the join is planned, so the copies move once.
+    crowded = written(crowded, "crowded")
     dealt = _dealt(members, cover, prints, cover.within).join(crowded, ["block", "anchor"], "left")
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     own = F.col("part") == F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
