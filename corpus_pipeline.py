@@ -1,5 +1,5 @@
 """Corpus preparation: the stages are in polyglint.llm.pipeline."""
 
-from polyglint.llm.pipeline import ORACLE_SQL, STAGES, run
+from polyglint.llm.pipeline import ORACLE_SQL, STAGES, dedup_lines, drop_contaminated, drop_near_duplicates, drop_toxic, encode, run
 
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
+__all__ = ["ORACLE_SQL", "STAGES", "dedup_lines", "drop_contaminated", "drop_near_duplicates", "drop_toxic", "encode", "run"]
