@@ -92,15 +92,22 @@ def error_code(c: Column, longest: int = 64) -> Column:
     return F.coalesce(blank_to_null(t), F.lit("unknown_error"))
 
 
+def _stamp(t: Column) -> Column:
+    """The year in four digits or more without a plus sign, which yyyy puts before years from 10000 on
+    (and it gives years before 1 as years of their era)."""
+    year = F.year(t)
+    return F.concat(F.when(year.between(0, 999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string")), F.date_format(t, "-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def rfc3339(seconds: Column) -> Column:
     """Epoch seconds as a UTC timestamp text (the session's time zone must be UTC)."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _stamp(F.timestamp_seconds(seconds))
 
 
 def canonical_timestamp(c: Column) -> Column:
     """The timestamp a text stands for, if the text is exactly its canonical form."""
     t = F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return F.when(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'") == c, t)
+    return F.when(_stamp(t) == c, t)
 
 
 def backoff(attempt: Column, least: int, most: int) -> Column:

@@ -131,3 +131,12 @@ def test_preview_names_every_row_of_both_sides(spark, monkeypatch):
     found = judged.collect()
     assert {r.outcome for r in found} == {"too_large"} and len(found) == sum(k == 1 for k, *_ in rows)
     assert [tuple(r) for r in align.preview_counts(judged, "k").collect()] == [(1, 0, 0, 0, 0, 7)]  # three left rows and four right ones
+
+
+def test_timestamps_of_years_beyond_four_digits_have_no_plus(spark):
+    days = [0, -719528, -700000, 2932896, 2932897, 9000000, 90000000]
+    expected = ["1970-01-01", "0000-01-01", "0053-06-19", "9999-12-31", "10000-01-01", "26611-03-02", "248381-08-19"]
+    got = spark.createDataFrame([(i, d * 86400) for i, d in enumerate(days)], "i int, s long").select("i", scalars.rfc3339(F.col("s")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [f"{d}T00:00:00Z" for d in expected]
+    texts = spark.createDataFrame([("+10000-01-01T00:00:00Z",), ("9999-12-31T00:00:00Z",)], "t string").select(F.unix_seconds(scalars.canonical_timestamp(F.col("t"))).alias("s")).collect()
+    assert [r.s for r in texts] == [None, 2932896 * 86400]
