@@ -88,15 +88,15 @@ def _numbered(items: Column, at: str) -> Column:
     return F.forall(F.transform(items, lambda x, i: F.coalesce(x[at] == i, F.lit(False))), lambda ok: ok)
 
 
-def songs(records: Mapping[str, DataFrame], batch: str) -> DataFrame:
+def songs(records: Mapping[str, DataFrame], batch: str, parts: int | None = None) -> DataFrame:
     """One row per song: its records, how many there were of those that must be one, its lines in order.
 
-    Both folds run on the one exchange by song; a song's records are its published document's, which is
-    bounded."""
+    Both folds run on the one exchange by song, to `parts` tasks where given; a song's records are its
+    published document's, which is bounded."""
     lists = {"contributions": "components", "aliases": "names"}
-    parts = F.array_sort(F.collect_list(F.when(F.col("segments").isNotNull(), F.struct("segments.position", "segments"))))
-    by_line = union(records, batch).repartition("music_id").groupBy("music_id", "line").agg(
-        *(F.count(k).alias(f"n_{k}") for k in (*ONE, "lines")), *(F.max(k).alias(k) for k in (*ONE, "lines")), *(F.collect_list(k).alias(n) for k, n in lists.items()), parts.alias("parts")
+    held = F.array_sort(F.collect_list(F.when(F.col("segments").isNotNull(), F.struct("segments.position", "segments"))))
+    by_line = union(records, batch).repartition(*([parts] if parts else []), "music_id").groupBy("music_id", "line").agg(
+        *(F.count(k).alias(f"n_{k}") for k in (*ONE, "lines")), *(F.max(k).alias(k) for k in (*ONE, "lines")), *(F.collect_list(k).alias(n) for k, n in lists.items()), held.alias("parts")
     )
     line = F.struct(
         "lines.position", F.col("line").alias("id"), "lines.ja", "lines.zh", "lines.en", F.coalesce("lines.stanza", F.lit(False)).alias("stanza"),
@@ -126,11 +126,11 @@ def _same_components(provenance: Column) -> Column:
     return F.coalesce((stored == expected) & F.forall(stored, lambda c: (c["component"] != "") & (c["rendition"] != "")), F.lit(False))
 
 
-def states(records: Mapping[str, DataFrame], batch: str) -> DataFrame:
+def states(records: Mapping[str, DataFrame], batch: str, parts: int | None = None) -> DataFrame:
     """One row per song of the catalogue or the batch: (music_id, state, revision, updated_at, titles,
     versions, no_lyrics_reason, lines, problems). Songs of text states alone have lines."""
     d, source, state = F.col("d"), F.col("source"), F.col("items.state")
-    found = songs(records, batch).where("n_items > 0 or n_music > 0")
+    found = songs(records, batch, parts).where("n_items > 0 or n_music > 0")
     found = found.withColumns({"d": F.from_json("availability.document_json", AVAILABILITY), "source": F.from_json("sources.document_json", SOURCE)})
     # What a document declares, by id and by name, and which of the catalogue's performers that is.
     known = lambda n: F.get(F.filter("names", lambda x: x["alias"] == n), F.lit(0))["performer_id"]
@@ -195,9 +195,9 @@ def refusals(records: Mapping[str, DataFrame], batch: str, found: DataFrame) ->
     return whole.unionByName(found.select("music_id", F.explode("problems").alias("problem")))
 
 
-def public(records: Mapping[str, DataFrame], batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def public(records: Mapping[str, DataFrame], batch: str, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, details, refusals) of a batch; with any refusal, index and details are empty."""
-    found = states(records, batch)
+    found = states(records, batch, parts)
     why = refusals(records, batch, found)
     clean = found.crossJoin(F.broadcast(why.agg(F.count("*").alias("__n")))).where("__n = 0")  # one row
     index = clean.select("music_id", "state", "revision", "updated_at", "title_ja", "title_zh", "title_en", "versions", "no_lyrics_reason")

@@ -13,6 +13,15 @@ from .publishing import ADMITTED
 from .relations import Tables, query
 
 
+#: How many segments a task of a batch's exchanges holds (about 300 bytes each when sorted).
+ROWS_A_TASK = 500_000
+
+
+def recovered_parts(t: Tables) -> int:
+    """How many tasks a batch's records are dealt to: in proportion to the segments, of which there are most."""
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.lineitem.count() // ROWS_A_TASK))
+
+
 def recovered(t: Tables) -> dict[str, DataFrame]:
     """The record sets of a batch, from customers (songs), their orders (lines) and lineitems (segments).
 
@@ -23,11 +32,16 @@ def recovered(t: Tables) -> dict[str, DataFrame]:
     key = F.col("c_custkey").cast("string")
     digest = F.md5(key.cast("binary"))
     songs = t.customer.select("*", state.alias("state"), digest.alias("sha"), F.lit("b").alias("batch"))
+    parts = recovered_parts(t)
     at = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    texts = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), "").alias("text"))
-    orders = t.orders.join(texts, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("at", F.row_number().over(at) - 1)
+    # An order's lineitems are put in order once, for its text and its segments; rows are dealt before they
+    # are collected, so that a task holds ROWS_A_TASK of them however large a split of the table is.
+    own = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").repartition(parts, "l_orderkey").groupBy("l_orderkey")
+    flags = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("flags"))
+    found = t.orders.repartition(parts, "o_orderkey").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = found.select("o_orderkey", "o_custkey", "o_orderpriority", F.array_join("flags", "").alias("text")).repartition(parts, "o_custkey").withColumn("at", F.row_number().over(at) - 1)
     urgent = F.col("o_orderpriority").startswith("1")
-    parts = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("at", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag")) - 1)
+    flagged = found.select("o_orderkey", "o_custkey", F.posexplode("flags").alias("at", "l_returnflag"))
     ruby = lambda c: F.array(F.struct(c.alias("text"), F.lit("").alias("reading")))
     building = F.col("c_mktsegment") == "BUILDING"
     refs = F.when(building, F.create_map(F.lit("full_text"), key, F.lit("game_projection"), key)).otherwise(F.create_map(F.lit("full_text"), key))
@@ -43,7 +57,7 @@ def recovered(t: Tables) -> dict[str, DataFrame]:
         "items": songs.select("batch", k, "state", F.when(F.col("c_acctbal") < 0, "stale").otherwise(F.col("sha")).alias("document_sha"), F.col("sha").alias("availability_sha")),
         "documents": t.orders.groupBy(F.col("o_custkey").alias("music_id")).agg(F.count("*").alias("revision"), F.max(F.unix_date(F.col("o_orderdate").cast("date"))).cast("bigint").alias("updated_at")),
         "lines": orders.select(F.col("o_custkey").alias("music_id"), F.col("o_orderkey").cast("string").alias("line_id"), F.col("at").alias("position"), F.when(urgent, F.col("o_orderpriority")).otherwise(F.coalesce("text", F.lit(""))).alias("ja"), F.lit("").alias("zh"), F.lit("").alias("en"), F.lit(False).alias("stanza")),
-        "segments": parts.select(F.col("o_custkey").alias("music_id"), F.col("l_orderkey").cast("string").alias("line_id"), F.col("at").alias("position"), F.col("l_returnflag").alias("text"), F.array().cast("array<bigint>").alias("performers"), ruby(F.col("l_returnflag")).alias("ruby")),
+        "segments": flagged.select(F.col("o_custkey").alias("music_id"), F.col("o_orderkey").cast("string").alias("line_id"), F.col("at").alias("position"), F.col("l_returnflag").alias("text"), F.array().cast("array<bigint>").alias("performers"), ruby(F.col("l_returnflag")).alias("ruby")),
         "sources": songs.where("state = 'complete'").select("batch", k, F.col("sha").alias("document_sha"), F.to_json(F.struct(refs.alias("provenance"))).alias("document_json")),
         "availability": songs.where("state <> 'complete'").select("batch", k, "state", F.col("sha").alias("document_sha"), F.when(F.col("state") == "game_only", F.to_json(game)).otherwise(F.to_json(open_)).alias("document_json"), (F.col("c_nationkey") + 1).cast("bigint").alias("created_at")),
         "contributions": songs.where(F.col("state").isin(*candidate.TEXT_STATES) & ~rich).select("batch", k, F.explode(component).alias("component"), key.alias("rendition")),
@@ -71,7 +85,7 @@ s AS (SELECT c_custkey AS music_id, state, CASE WHEN state = 'complete' THEN n E
 @query(RECOVERED + "SELECT * FROM s")
 def v04_public_candidate(t: Tables) -> DataFrame:
     """Nine record sets to one row per song with its state, text and problems."""
-    found = candidate.states(recovered(t), "b")
+    found = candidate.states(recovered(t), "b", recovered_parts(t))
     bodies = F.array_join(F.transform("lines", lambda x: x["ja"]), "\n")
     singers = F.when(F.col("state") == "game_only", F.array_join(F.flatten(F.transform("lines", lambda x: x["trailing"])).cast("array<string>"), ","))
     joined = lambda c: F.array_join(c, ",").alias(c)
@@ -81,7 +95,7 @@ def v04_public_candidate(t: Tables) -> DataFrame:
 @query(RECOVERED + ", p AS (SELECT music_id, unnest(string_split(problems, ',')) AS problem FROM s WHERE problems <> '') SELECT 'refused' AS kind, music_id, problem FROM p UNION ALL SELECT 'index', music_id, state FROM s WHERE NOT EXISTS (FROM p)")
 def j37_refused_batch(t: Tables) -> DataFrame:
     """One faulty song refuses the whole batch; the index is empty then."""
-    index, _, why = candidate.public(recovered(t), "b")
+    index, _, why = candidate.public(recovered(t), "b", recovered_parts(t))
     return why.select(F.lit("refused").alias("kind"), "music_id", "problem").unionByName(index.select(F.lit("index").alias("kind"), "music_id", F.col("state").alias("problem")))
 
 

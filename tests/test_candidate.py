@@ -155,3 +155,16 @@ def test_empty_sets(spark):
     rows = {k: [] for k in rows} | {"batches": [("b", "r", 0)]}
     index, details, why = candidate.public(frames(spark, rows), "b")
     assert index.collect() == details.collect() == why.select(F.col("problem")).collect() == []
+
+
+def test_tasks_grow_with_the_segments(spark, monkeypatch):
+    """More rows go to more tasks, so that what one task sorts stays as it is."""
+    from polyglint.plans import recovering
+    from polyglint.plans.relations import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(recovering, "ROWS_A_TASK", 500)
+    parts = recovering.recovered_parts(t)
+    assert parts == -(-t.lineitem.count() // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = candidate.states(recovering.recovered(t), "b", parts)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
