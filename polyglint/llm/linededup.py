@@ -3,8 +3,8 @@
 A first pass puts the hash of every line key into two bit fields: once, and again where the key was
 met before (in the same task, or in another one: the AND of two tasks' fields marks what both have
 seen). Only lines whose bits are all set in the second field are suspected repeats; they alone are
-shuffled, counted exactly by key, and the first occurrence of each confirmed key is chosen. False
-positives of the filters cost some shuffle and never change the result.
+shuffled, as 128-bit digests of their keys, counted exactly, and the first occurrence of each confirmed
+key is chosen. False positives of the filters cost some shuffle and never change the result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def key_of(line: bytes) -> bytes:
     return line.strip(SPACE).lower()
 
 
+def digest_of(key: bytes) -> bytes:
+    """What a key is told apart by: 128 bits, however long the line."""
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     """HASHES bit positions for each hash."""
     low, high = hashes & np.uint64((1 << bits) - 1), (hashes >> np.uint64(32)) | np.uint64(1)
@@ -123,29 +129,32 @@ def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     return field
 
 
-def repeated_keys(docs: DataFrame, documents: int = 10, least: int = 1, bits: int | None = None, passage: int | None = None) -> DataFrame:
-    """docs (text) -> (key, n_documents, first): line keys of at least `least` code points that are
-    found in at least `documents` rows (in two, for lines of `passage` words or more), and (where
-    doc_id is there) the smallest doc_id with it."""
-    bits = bits or fitting_bits(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, least, bits))
+def _suspected(text: bytes, least: int, field: np.ndarray, bits: int) -> list[bytes]:
+    """The keys of a text whose bits are all set in the twice-seen filter, once each."""
+    keys = [k for k in set(_keys(text, least)[1]) if k]
+    if not keys:
+        return []
+    slots = _slots(np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64), bits)
+    return [keys[i] for i in np.flatnonzero(Twice.has(field, slots)).tolist()]
+
+
+def repeated_keys(docs: DataFrame, sent: Broadcast, documents: int = 10, least: int = 1, passage: int | None = None) -> DataFrame:
+    """docs (doc_id, text) -> (key, n_documents, first): digests of the line keys of at least `least`
+    code points that are found in at least `documents` rows (in two, for lines of `passage` words or
+    more), and the smallest doc_id with it. sent: the twice-seen filter and the log2 of its bits."""
     schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64()), ("enough", pa.int64())])
 
     def given(count: dict[bytes, list]) -> pa.RecordBatch:
-        enough = [min(2, documents) if passage is not None and len(k.split()) >= passage else documents for k in count]
-        return rows(schema, key=list(count), first=[x[0] for x in count.values()], n=[x[1] for x in count.values()], enough=enough)
+        return rows(schema, key=list(count), first=[x[0] for x in count.values()], n=[x[1] for x in count.values()], enough=[x[2] for x in count.values()])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, digest = sent.value, xxhash.xxh64_intdigest
+        field, bits = sent.value
         count: dict[bytes, list] = {}
         for batch in (x for b in batches for x in by_size(b, 1)):
             for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
-                keys = [k for k in set(_keys(text, least)[1]) if k]
-                if not keys:
-                    continue
-                slots = _slots(np.array([digest(k) for k in keys], dtype=np.uint64), bits)
-                for i in np.flatnonzero(Twice.has(field, slots)).tolist():
-                    met = count.setdefault(keys[i], [doc, 0])
+                for key in _suspected(text, least, field, bits):
+                    if (met := count.get(name := digest_of(key))) is None:
+                        met = count[name] = [doc, 0, min(2, documents) if passage is not None and len(key.split()) >= passage else documents]
                     met[1] += 1
                     if doc is not None and (met[0] is None or doc < met[0]):
                         met[0] = doc
@@ -174,7 +183,9 @@ def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first:
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    keys = saved(repeated_keys(docs, documents, least, bits, passage=passage))
+    bits = bits or fitting_bits(docs)
+    twice = docs.sparkSession.sparkContext.broadcast((twice_seen(docs, least, bits), bits))
+    keys = saved(repeated_keys(docs, twice, documents, least, passage))
     size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()[0]
     schema = StructType(list(docs.schema)).add("n_lines", LongType()).add("n_dropped", LongType())
     at, id_at = kept.index("text"), kept.index("doc_id")
@@ -184,7 +195,7 @@ def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first:
             texts, n_lines, n_dropped = [], [], []
             for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), drops(batch)):
                 lines, keys = _keys(text or b"", least)
-                left = [x for x, k in zip(lines, keys) if k not in gone]
+                left = [x for x, k in zip(lines, keys) if not k or digest_of(k) not in gone]
                 texts.append(b"\n".join(left).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
@@ -209,23 +220,29 @@ def line_dedup(docs: DataFrame, documents: int = 10, least: int = 1, keep_first:
 
         return docs.mapInArrow(run, schema)
 
-    # Too many keys to send: join them with the documents' keys, then bring each document its own.
+    # Too many keys to send: join them with the documents' suspected keys, then bring each document its own.
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("row", pa.string()), ("doc", pa.int64()), ("key", pa.binary())])
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                found = [k for k in set(_keys(text or b"", least)[1]) if k]
-                yield rows(out, row=[_row(doc, text)] * len(found), doc=[doc] * len(found), key=found)
+        field, bits = twice.value
+        out = pa.schema([("row", pa.binary()), ("doc", pa.int64()), ("key", pa.binary())])
+        for batch in (x for b in batches for x in by_size(b, 1)):
+            row, docs_, found = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
+                if met := _suspected(text, least, field, bits):
+                    row += [_row(doc, text)] * len(met)
+                    docs_ += [doc] * len(met)
+                    found += map(digest_of, met)
+            if found:
+                yield rows(out, row=row, doc=docs_, key=found)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return apply(batches, lambda b: [set(map(bytes, x or ())) for x in b.column(len(kept)).to_pylist()])
 
-    pairs = docs.select("doc_id", "text").mapInArrow(own, "row string, doc long, key binary").distinct()
+    pairs = docs.select("doc_id", "text").mapInArrow(own, "row binary, doc long, key binary")
     hit = pairs.join(keys, "key").where(~F.col("doc").eqNullSafe(F.col("first")) if keep_first else F.lit(True))
-    gone = hit.groupBy("row").agg(F.collect_list("key").alias("__gone")).withColumnRenamed("row", "__row")
-    named = docs.withColumn("__row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    gone = hit.groupBy("row").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("row", "__row")
+    named = docs.withColumn("__row", F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"), 256)))
     return named.join(gone, "__row", "left").drop("__row").mapInArrow(joined, schema)
 
 
-def _row(doc, text: bytes | None) -> str:
-    return f"{'-' if doc is None else doc}:{hashlib.sha256(text or b'').hexdigest()}"
+def _row(doc, text: bytes) -> bytes:
+    return hashlib.sha256(f"{'-' if doc is None else doc}:".encode() + text).digest()

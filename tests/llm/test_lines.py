@@ -71,3 +71,11 @@ def test_filters_grow_with_the_lines(spark):
     docs = documents(spark, [(1, "a\nb\n", "", "", 0), (2, None, "", "", 0), (3, "\n" * 4_000_000, "", "", 0)])
     assert linededup.fitting_bits(docs.where("doc_id < 3")) == 23 and linededup.fitting_bits(docs) == 26
     assert linededup.fitting_bits(docs.limit(0)) == 23
+
+
+def test_what_is_counted_and_sent_does_not_grow_with_the_lines_length(spark):
+    long = "word " * 5000
+    docs = documents(spark, [(i, f"{long}\nalone {i}", "", "", 0) for i in range(4)])
+    twice = spark.sparkContext.broadcast((linededup.twice_seen(docs, 1, 16), 16))
+    got = linededup.repeated_keys(docs, twice, documents=10, passage=50).collect()
+    assert [(len(r.key), r.n_documents, r.first) for r in got] == [(16, 4, 0)]
