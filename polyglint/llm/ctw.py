@@ -27,8 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, partitions, rows, saved, written
+from .common import by_size, encoded, partitions, rows, saved, written
 
+#: Keys put into a table, and bytes of texts scored, at a time: what a worker holds beside the model follows these.
+STRETCH = 1 << 18
+#: Words whose counts a worker keeps.
+WORDS = 100_000
 #: A key that no word can have: it counts the ends of texts.
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 64 if xxhash.xxh64_intdigest(b"\n") >> 63 else 0)
 
@@ -276,6 +280,10 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys, self.values = np.full(1 << self.bits, np.uint64(0)), np.zeros(1 << self.bits, np.float32)
+        for i in range(0, len(keys), STRETCH):
+            self._put(keys[i : i + STRETCH], values[i : i + STRETCH])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         slot, left = self.slot(keys), np.arange(len(keys))
         while len(left):
             at = slot[left]
@@ -334,7 +342,7 @@ class Scorer:
         out, open_, i = np.zeros(len(texts)), [()] * len(texts), 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (size < 1 << 20 or j == i):
+            while j < len(texts) and (size < STRETCH or j == i):
                 size += len(texts[j]) + 1
                 j += 1
             keys, start = grams_of(texts[i:j], self.depth)
@@ -455,15 +463,14 @@ def lm_scores(docs: DataFrame, learns, s: Settings | None = None) -> DataFrame:
         scorer, cache = Scorer(model), {}
         ends = often.get(END, 0)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for part in by_size(batch, 1, STRETCH):
                 texts = list(encoded(part.column(1)))
                 out = []
                 for text in texts:
                     n, known, total, rare, times = 1, int(ends > 0), math.log10(ends + 1), [], []
                     for word, c in Counter(text.lower().split()).items():
                         if (met := cache.get(word)) is None:
-                            if len(cache) > 400_000:
+                            if len(cache) > WORDS:
                                 cache.clear()
                             key = xxhash.xxh64_intdigest(word)
                             key -= (key >> 63) << 64

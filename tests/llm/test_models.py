@@ -255,3 +255,17 @@ def test_lm_of_odd_tables(spark):
     rows = ctw.lm_scores(documents(spark, [(1, "ab", "", "", 0), (1, "ab", "", "", 0), (None, None, "", "", 0)]), F.lit(False)).collect()
     assert len(rows) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in rows)
     assert abs(rows[0].score + (rows[0].n_bytes + 1) * math.log10(256)) < 1e-6
+
+
+def test_a_table_is_made_within_little_more_than_its_own_size():
+    import tracemalloc
+
+    keys = np.random.default_rng(3).permutation(np.arange(1, 2_000_001, dtype=np.uint64)) * np.uint64(977)
+    values = np.arange(len(keys), dtype=np.float32)
+    tracemalloc.start()
+    table = ctw.Table(keys, values)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - table.keys.nbytes - table.values.nbytes < 40_000_000
+    got, found = table.get(np.r_[keys[::7], np.uint64(976)])
+    assert found[:-1].all() and not found[-1] and (got[:-1] == values[::7]).all()
