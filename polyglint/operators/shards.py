@@ -26,6 +26,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """A table with a row for each item, which joins meet sorted: sent to all tasks, it would pass through
+    the driver in every round."""
+    return df.hint("merge")
+
+
 def overhead(digits: int) -> int:
     return sum(map(len, ENVELOPE)) + digits
 
@@ -65,7 +71,7 @@ def _ends(places: DataFrame, digits: int, most_encoded: int, most_raw: int) -> D
     span = max(1, SPAN * max(room, 1))
     a = _furthest(places, "e", room, span)
     b = _furthest(places, "r", most_raw, span).withColumnRenamed("upto", "by_raw")
-    return a.join(b, "p").select("p", F.least("upto", "by_raw").alias("upto")).where("upto > p")
+    return a.join(_met(b), "p").select("p", F.least("upto", "by_raw").alias("upto")).where("upto > p")
 
 
 def planned(items: DataFrame, order: str, encoded: str, raw: str, most_encoded: int, most_raw: int) -> tuple[DataFrame, DataFrame]:
@@ -82,13 +88,13 @@ def planned(items: DataFrame, order: str, encoded: str, raw: str, most_encoded:
         jump = _written(_ends(places.where(F.col("p") >= at), digits, most_encoded, most_raw), "shard-ends")
         reached, step, top = spark.createDataFrame([(at, lo)], "p long, ordinal long"), 1, at
         while True:
-            on = reached.join(jump, "p").select(F.col("upto").alias("p"), (F.col("ordinal") + step).alias("ordinal")).where(F.col("ordinal") <= hi)
+            on = reached.join(_met(jump), "p").select(F.col("upto").alias("p"), (F.col("ordinal") + step).alias("ordinal")).where(F.col("ordinal") <= hi)
             reached = _written(reached.unionByName(on), "shard-starts")
             last = reached.agg(F.max("p").alias("p"), F.max("ordinal").alias("o")).first()
             if last["p"] in (top, n) or last["o"] >= hi:
                 break
             top, step = last["p"], step * 2
-            twice = jump.select(F.col("p").alias("from"), F.col("upto").alias("p")).join(jump, "p")
+            twice = jump.select(F.col("p").alias("from"), F.col("upto").alias("p")).join(_met(jump), "p")
             jump = _written(twice.select(F.col("from").alias("p"), "upto"), "shard-ends")
         starts.append(reached.withColumn("digits", F.lit(digits)))
         if last["p"] == n or last["o"] < hi:
@@ -105,7 +111,7 @@ def planned(items: DataFrame, order: str, encoded: str, raw: str, most_encoded:
     after = marks.select((F.col("ordinal") - 1).alias("ordinal"), F.col("p").alias("upto"))
     x, y = (places.select(F.col("p").alias(k), F.col("e").alias(f"e_{k}"), F.col("r").alias(f"r_{k}"), F.col("id").alias(f"id_{k}")) for k in ("after", "upto"))
     first = places.select((F.col("p") - 1).alias("after"), F.col("id").alias("first_id"))
-    shards = marks.withColumnRenamed("p", "after").join(after, "ordinal").join(x, "after").join(y, "upto").join(first, "after")
+    shards = marks.withColumnRenamed("p", "after").join(after, "ordinal").join(_met(x), "after").join(_met(y), "upto").join(_met(first), "after")
     frame = F.lit(sum(map(len, ENVELOPE))) + F.length(F.col("ordinal").cast("string")) - 1
     shards = shards.select(
         "ordinal", "after", "upto", (F.col("upto") - F.col("after")).alias("n_items"), (F.col("e_upto") - F.col("e_after") + frame).alias("encoded_bytes"),
@@ -122,7 +128,7 @@ def sealed(items: DataFrame, order: str, body: str, raw: str, most_encoded: int,
     shards, unfit = planned(sized, "id", "e", "r", most_encoded, most_raw)
     shards = _written(shards, "shard-plan")
     places = positions(sized, "id", "e", "r").select("p", "id")
-    own = shards.select("ordinal", F.explode(F.sequence(F.col("after") + 1, F.col("upto"))).alias("p")).join(places, "p").join(sized.select("id", "body"), "id")
+    own = shards.select("ordinal", F.explode(F.sequence(F.col("after") + 1, F.col("upto"))).alias("p")).join(_met(places), "p").join(_met(sized.select("id", "body")), "id")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "body"))), lambda x: x["body"]), ",")
     bodies = own.groupBy("ordinal").agg(F.concat(F.lit(ENVELOPE[0]), F.col("ordinal").cast("string"), F.lit(ENVELOPE[1]), joined, F.lit(ENVELOPE[2])).alias("body"))
     return shards.join(bodies, "ordinal").withColumn("sha256", F.sha2(F.col("body").cast("binary"), 256)), unfit

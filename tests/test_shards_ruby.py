@@ -106,3 +106,10 @@ def test_ruby_equals_the_sequential_deal(spark):
             made += 1
             assert [[tuple(p) for p in part] for part in parts] == wanted
     assert made > 100 and got[1002].refusal == "crosses_segment" and got[1003].refusal == "ended_early" and got[1004].refusal == "continues_after"
+
+
+def test_tables_of_all_items_are_not_sent_through_the_driver(spark):
+    items = spark.range(50).selectExpr("id AS k", "concat('{', id, '}') AS body", "1L AS raw")
+    found, _ = shards.sealed(items, "k", "body", "raw", 60, 300)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and found.agg({"n_items": "sum"}).first()[0] == 50
