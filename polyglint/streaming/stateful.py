@@ -83,39 +83,58 @@ class RoomLog(StatefulProcessor):
         self.head = handle.getValueState("head", "epoch long, seq long, snapshot string")
         self.tail = handle.getListState("tail", "payload string")
 
-    def _merged(self, snapshot: str | None) -> str:
-        return "\n".join([*([] if snapshot is None else [snapshot]), *(r[0] for r in self.tail.get())])
+    def _begin(self) -> None:
+        """A call takes the state once and gives it back once, whatever the number of its rows."""
+        self.known = self.head.exists()
+        self.now, self.seq, self.snapshot = self.head.get() if self.known else (None, 0, None)
+        self.changed, self.emptied, self.old, self.new = False, False, None, []
+
+    def _end(self) -> None:
+        if self.changed:
+            self.head.update((self.now, self.seq, self.snapshot))
+        if self.emptied:
+            self.tail.clear()
+        if self.new:
+            self.tail.appendList([(p,) for p in self.new])
+
+    def _empty(self) -> None:
+        self.emptied, self.old, self.new = True, [], []
+
+    def _merged(self) -> str:
+        if self.old is None:
+            self.old = [r[0] for r in self.tail.get()]
+        return "\n".join([*([] if self.snapshot is None else [self.snapshot]), *self.old, *self.new])
 
     def _one(self, kind: str, epoch: int, payload: str | None, digest: str | None) -> tuple[str, int | None, str | None]:
-        known = self.head.exists()
-        now, seq, snapshot = self.head.get() if known else (None, 0, None)
         if kind == "open":
-            if known and epoch <= now:
+            if self.known and epoch <= self.now:
                 return "stale_epoch", None, None
-            self.tail.clear()
-            self.head.update((epoch, 0, payload))
+            self._empty()
+            self.known, self.changed, self.now, self.seq, self.snapshot = True, True, epoch, 0, payload
             return "opened", 0, None
-        if not known:
+        if not self.known:
             return "unavailable", None, None
-        if epoch != now:
+        if epoch != self.now:
             return "retired", None, None
         if kind == "load":
-            return "loaded", seq, self._merged(snapshot)
+            return "loaded", self.seq, self._merged()
         if not payload or len(payload.encode()) > self.most:
             return "too_large", None, None
         if digest != hashlib.sha256(payload.encode()).hexdigest():
             return "bad_checksum", None, None
-        self.tail.appendValue((payload,))
-        if (seq + 1) % self.every == 0:
-            snapshot = self._merged(snapshot)
-            self.tail.clear()
-        self.head.update((now, seq + 1, snapshot))
-        return "appended", seq + 1, None
+        self.new.append(payload)
+        self.changed, self.seq = True, self.seq + 1
+        if self.seq % self.every == 0:
+            self.snapshot = self._merged()
+            self._empty()
+        return "appended", self.seq, None
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(rows)).sort_values("ord", kind="stable")
         text = lambda c: [None if pd.isna(x) else x for x in given[c]]
+        self._begin()
         found = [self._one(k, int(e), p, d) for k, e, p, d in zip(given["kind"], given["epoch"], text("payload"), text("digest"))]
+        self._end()
         outcome, seq, body = zip(*found)
         yield pd.DataFrame({"room": key[0], "ord": given["ord"].to_numpy(), "epoch": given["epoch"].to_numpy(), "outcome": outcome, "seq": pd.array(seq, dtype="Int64"), "body": body})
 
@@ -135,10 +154,13 @@ def room_log(events: DataFrame, every: int = 64, most_bytes: int = 1 << 20) -> D
     return given.groupBy("room").transformWithStateInPandas(RoomLog(every, most_bytes), "room string, ord long, epoch long, outcome string, seq long, body string", "Append", "None")
 
 
-def collected(stream: DataFrame, folder: str, seconds: int = 600) -> DataFrame:
-    """Run a stream over what is there now into parquet files, from its checkpoint on; all its rows so far."""
+def collected(stream: DataFrame, folder: str, seconds: int | None = None) -> DataFrame:
+    """Run a stream over what is there now into parquet files, from its checkpoint on; all its rows so far.
+    It takes as long as it takes, unless a number of seconds is given."""
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    if not run.awaitTermination(seconds):
+    if seconds is None:
+        run.awaitTermination()
+    elif not run.awaitTermination(seconds):
         run.stop()
         raise TimeoutError(f"not done after {seconds} s")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -128,3 +128,29 @@ def test_log_over_batches_and_a_restart(spark, tmp_path):
     assert {r.ord: r.seq for r in numbered.collect()} == {x[3]: wanted[x[3]][1] for x in good}
     whole = logs.replayed(spark.createDataFrame([("x", 0, base[4])], "room string, seq long, body string"), numbered, "room", "seq", "payload").first()
     assert whole.body == "\n".join([base[4], *(x[4] for x in good)])
+
+
+def test_a_call_gives_its_state_back_once():
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.value, self.writes = None, 0
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value if isinstance(self.value, tuple) else iter(self.value or [])
+        clear = lambda self: self.update(None)
+        appendValue = lambda self, v: self.update([*(self.value or []), v])
+        appendList = lambda self, v: self.update([*(self.value or []), *v])
+
+        def update(self, v):
+            self.value, self.writes = v, self.writes + 1
+
+    log = stateful.RoomLog(5, 1 << 20)
+    log.head, log.tail = Held(), Held()
+    texts = [f"u{i}" for i in range(23)]
+    kinds = ["open", *["update"] * 21, "load"]
+    given = pd.DataFrame({"ord": range(23), "epoch": 1, "kind": kinds, "payload": texts, "digest": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
+    got = [pd.concat(log.handleInputRows(("r",), iter([part]), None)) for part in (given[:13], given[13:])]
+    assert log.head.writes <= 2 and log.tail.writes <= 4
+    assert got[1]["body"].iloc[-1] == "\n".join(texts[:22]) and got[1]["seq"].iloc[-1] == 21
