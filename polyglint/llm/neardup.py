@@ -8,9 +8,10 @@ fingerprint has an anchor of both: at a similarity of 0.8, 0.575 of all pairs me
 candidates if all their fingerprints together differ in at most reach() bits.
 
 Candidates are thinned only by links that passed the Jaccard test: a candidate is left out where its
-texts are in one verified group, or (for now) where others join the same groups. Groups in which a
-test failed are searched again; texts of pairs left out there are searched among themselves, with
-more candidates for each text, until none is left out.
+texts are in one verified group, or (for now) where others join the same groups. All pairs that met
+are in one group of candidates then; where a test failed, the group's texts are compared with each
+other, tile by tile, and tested where they are compared. So pairs that fail are never rows: what is
+written are links that join texts of two tiles, however many pairs of a group are near.
 
 An anchor with more than HOME_ROWS texts at home is dealt in as many parts as that takes: each part
 holds its share of the texts at home and meets all that come to the anchor.
@@ -26,19 +27,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, encoded, partitions, row_digest, rows, saved, written
+from .common import by_size, encoded, partitions, row_digest, rows, written
 from .components import components
-from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, compared, judged, shingle_sets
+from .simhash import Cover, Part, _hashes, _majority, _mixed, anchors, judged, shingle_sets
 
 SEEDS = 5
 #: Share of bits that differ at a similarity of 0.8: the angle of 2J / (1 + J), in half turns.
 DIFFERENT = float(np.arccos(1.6 / 1.8) / np.pi)
 #: Candidates may differ by so many standard deviations more than that.
 DEVIATIONS = 3.0
-#: Candidates for each text and anchor when groups are first searched again; then sixteen times as many each time.
-FIRST = 64
 #: Texts at home that one task holds for an anchor.
 HOME_ROWS = 20_000
+#: Most texts and hashes of shingles of a tile on average, and the fewest texts for which a group is cut in more tiles.
+TILE_ROWS, TILE_HASHES, LEAST_ROWS = 4_000, 1_000_000, 50
+#: Pairs of tiles for each partition that a large group is cut in, so that tasks are even.
+TILES_EACH = 4
 SEEN = [f"seen_{k}" for k in range(SEEDS)]
 MEMBER = "id long, seed int, fingerprint long, check long, label long"
 
@@ -195,6 +198,71 @@ def candidates(members: DataFrame, cover: Cover, most: int | None = None, home_r
     return dealt.mapInArrow(run, "a long, b long, more boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").distinct()
 
 
+def _joining(key: tuple, tile: pa.Table, similarity: float) -> tuple[list, list]:
+    """The links between two tiles (or inside one) of a group that join their texts as all their links do."""
+    ids, label, own, *found = (tile.column(n).to_numpy() for n in ("id", "label", "own", *SEEN))
+    found = np.array(found).view(np.uint64)
+    of = tile.column("shingles").combine_chunks()
+    at, hashes = of.offsets.to_numpy(), of.values.to_numpy(zero_copy_only=False)
+    size = np.diff(at)
+    meeting, out = _Meeting(None, len(SEEN)), []
+    left, right = (np.flatnonzero(own == k) for k in key[1:])
+    step = max(1, 400_000 // max(1, len(right)))
+    for i in range(0, len(left), step):
+        some = left[i : i + step]
+        x, y, bits = meeting.near(found[:, some], found[:, right])
+        x, y = some[x], right[y]
+        least = np.minimum(size[x], size[y])
+        roots = meeting.roots(label)
+        # A pair can't have the similarity unless all of the smaller set could be in the larger one.
+        keep = (roots[x] != roots[y]) & (least >= similarity * (size[x] + size[y] - least))
+        x, y, bits = x[keep], y[keep], bits[keep]
+        order = np.lexsort((ids[y], ids[x], bits))
+        for m, h in zip(x[order].tolist(), y[order].tolist()):
+            a, b = meeting.find(int(label[m])), meeting.find(int(label[h]))
+            if a != b:
+                shared = len(np.intersect1d(hashes[at[m] : at[m + 1]], hashes[at[h] : at[h + 1]], assume_unique=True))
+                if shared >= similarity * (size[m] + size[h] - shared):
+                    meeting.root[max(a, b)] = min(a, b)
+                    out.append((int(ids[m]), int(ids[h])))
+    return [a for a, _ in out], [b for _, b in out]
+
+
+def links_inside(live: DataFrame, similarity: float, tile_rows: int = TILE_ROWS, tile_hashes: int = TILE_HASHES, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """live (group, id, label, fingerprints, shingles) -> (a, b): links of the groups' texts that join
+    them as all their links within reach do. A group is cut in tiles by hashes of the ids; every two
+    tiles meet in one task, which holds no more than these."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            start = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), batch.num_rows]):
+                if (key := tuple(int(k[s]) for k in keys)) != last:
+                    if held:
+                        a, b = _joining(last, pa.Table.from_batches(held), similarity)
+                        yield rows(schema, a=a, b=b)
+                    last, held = key, []
+                held.append(batch.slice(s, e - s))
+        if held:
+            a, b = _joining(last, pa.Table.from_batches(held), similarity)
+            yield rows(schema, a=a, b=b)
+
+    n = partitions(live.sparkSession)
+    size = live.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("hashes"))
+    even = F.least(F.lit(int((2 * TILES_EACH * n) ** 0.5) + 1), F.ceil(F.col("n") / least_rows))
+    tiles = F.greatest(even, F.ceil(F.col("n") / tile_rows), F.ceil(F.col("hashes") / tile_hashes)).cast("int")
+    dealt = live.join(written(size.select("group", tiles.alias("tiles")), "tiles"), "group")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "own", *SEEN, "shingles")
+    dealt = dealt.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(members: DataFrame, docs: DataFrame, width: int, similarity: float, cover: Cover) -> DataFrame:
     """members (id, row, fingerprints), docs (row, text) -> (id, label) of all that are in a group."""
 
@@ -227,22 +295,13 @@ def linked(members: DataFrame, docs: DataFrame, width: int, similarity: float, c
     failed = known.where("not ok")
     if failed.isEmpty():
         return label
-    group = saved(components(known).withColumnRenamed("label", "group"))
-    again = group.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("group").distinct()
-    live = saved(members.join(group.join(again, "group", "left_semi").select("id"), "id", "left_semi"))
-    sets = shingle_sets(texts(live.select("id")), width)
-    most, more = FIRST, True
-    while more:
-        found = written(candidates(labelled(live, label), cover, most), "pairs")
-        # Both texts of every pair left out are searched among themselves; all other pairs are known now.
-        short = found.where("more").select(F.col("a").alias("id")).distinct()
-        more = not short.isEmpty()
-        fresh = written(compared(found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti"), sets, similarity), "tested")
-        label, known = joined(label, fresh), known.unionByName(fresh)
-        if more:
-            live = saved(live.join(short, "id", "left_semi"))
-        most *= 16
-    return label
+    group = written(components(known).withColumnRenamed("label", "group"), "groups")
+    again = written(group.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("group").distinct(), "again")
+    live = members.join(group.join(again, "group", "left_semi"), "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    live = written(live.select("group", "id", "label", *SEEN), "live")
+    sets = shingle_sets(texts(live.select("id")).dropDuplicates(["doc_id"]), width)
+    fresh = written(links_inside(live.join(sets, "id"), similarity), "tested")
+    return joined(label, fresh.withColumn("ok", F.lit(True)))
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, cover: Cover | None = None) -> DataFrame:

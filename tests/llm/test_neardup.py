@@ -122,3 +122,49 @@ def test_recall_against_all_pairs_of_the_documents(spark):
     assert len(close) > 50 and sum(group[a] == group[b] for a, b in close) >= 0.98 * len(close)
     united = [(a, b) for b, a in group.items() if a != b]
     assert all(any(b in p and group[p[0]] == group[p[1]] for p in close) for _, b in united)
+
+
+def crowd(n: int):
+    """Texts of 400 words with seven of their own each: most pairs are near, but not near enough; every third is a copy but for a word."""
+    r = random.Random(8)
+    out = []
+    for i in range(n):
+        words = list(out[-1]) if i % 3 == 2 else [f"w{k}" for k in range(400)]
+        for k in r.sample(range(400), 1 if i % 3 == 2 else 7):
+            words[k] = f"own{i}x{k}"
+        out.append(words)
+    return [" ".join(x) for x in out]
+
+
+def united(pairs, n: int) -> dict:
+    least = {i: i for i in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_pairs_of_a_crowd_that_fail_are_never_rows(spark, monkeypatch):
+    """As many rows are written as there are texts and tiles, not as pairs."""
+    texts, tables, write = crowd(120), [], neardup.written
+
+    def counted(df, name):
+        tables.append((name, write(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(neardup, "written", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_copies(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    close = [p for p in combinations(range(120), 2) if likeness(texts[p[0]], texts[p[1]]) >= 0.8]
+    assert got == united(close, 120) and len(set(got.values())) == 80
+    sizes = {name: max(t.count() for n, t in tables if n == name) for name, _ in tables}
+    assert max(sizes.values()) <= 30 * 120, sizes
+
+
+def test_tiles_of_any_size_find_the_same_groups(spark):
+    texts = crowd(60)
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).select("doc_id", "text")
+    live = neardup.seen(docs, 5).selectExpr("0L as `group`", "doc_id as id", "doc_id as label", *neardup.SEEN).join(simhash.shingle_sets(docs, 5), "id").cache()
+    close = [p for p in combinations(range(60), 2) if likeness(texts[p[0]], texts[p[1]]) >= 0.8]
+    for sizes in ((4000, 1_000_000, 60), (7, 1_000_000, 60), (4000, 500, 60), (4000, 1_000_000, 4)):
+        found = [(r.a, r.b) for r in neardup.links_inside(live, 0.8, *sizes).collect()]
+        assert set(found) <= set(close) and united(found, 60) == united(close, 60)
