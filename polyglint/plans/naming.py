@@ -216,7 +216,9 @@ def n02_scenarios(t: Tables) -> DataFrame:
     number = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit("e21"))).otherwise(F.concat(size, F.lit(".0")))
     talk = F.when(F.col("p_size") == 2, "{}").otherwise("[]")
     body = F.concat(F.lit('{ "TalkData": '), talk, F.lit(', "More": 1, "Snippets": [{"Text": "'), "p_name", F.lit(' <b>", "Action": '), number, F.lit('}], "AppearCharacters": [5e-1], "SpecialEffectData": [], "ScenarioId": "'), "p_brand", F.lit('"}'))
-    made = t.part.select("p_partkey", "p_size", "p_brand", number.alias("number"), canonical.scenario_form_udf(body, F.when(F.col("p_size") == 1, "another").otherwise(F.col("p_brand"))).alias("f"))
+    # Dealt anew: the table is small beside the work on a row, so its few splits would leave cores idle.
+    part = t.part.select("p_partkey", "p_name", "p_size", "p_brand").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    made = part.select("p_partkey", "p_size", "p_brand", number.alias("number"), canonical.scenario_form_udf(body, F.when(F.col("p_size") == 1, "another").otherwise(F.col("p_brand"))).alias("f"))
     stored = F.when(F.col("p_size") % 2 == 1, F.regexp_replace("f.body", r'("Action":)[^,]*', F.concat(F.lit("$1"), "number"))).otherwise(F.col("f.body"))
     made = made.withColumn("stored", F.coalesce(stored, F.lit("")))
     problem = canonical.stored_problem_udf(F.lit(1), F.lit("1"), "p_brand", "stored", F.when(F.col("p_size") <= 2, "x").otherwise(F.sha2(F.col("stored").cast("binary"), 256)))

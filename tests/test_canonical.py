@@ -46,3 +46,11 @@ def test_no_text_fails_the_job(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, t string")
     got = [r.c for r in df.select("k", canonical.canonical_json_udf("t").alias("c")).orderBy("k").collect()]
     assert got == ['{"a":"\\u003c\\u2028","b":1.50}', '"�"', None, None, None, None, '{"a":2}', "123456789012345678901234567890.10"]
+
+
+def test_scenarios_are_dealt_to_all_partitions(spark):
+    """The table of parts is one split; the work on its rows is not left to one task."""
+    import __spark_entry__
+
+    made = __spark_entry__.queries()["n02_scenarios"](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
