@@ -140,3 +140,18 @@ def test_timestamps_of_years_beyond_four_digits_have_no_plus(spark):
     assert [r.t for r in got] == [f"{d}T00:00:00Z" for d in expected]
     texts = spark.createDataFrame([("+10000-01-01T00:00:00Z",), ("9999-12-31T00:00:00Z",)], "t string").select(F.unix_seconds(scalars.canonical_timestamp(F.col("t"))).alias("s")).collect()
     assert [r.s for r in texts] == [None, 2932896 * 86400]
+
+
+def test_preview_aligns_every_group_once(spark):
+    """Four joins read the pairs; none of them aligns again."""
+    rows = spark.createDataFrame([("a", s, i, "talk", "x", f"t{i}") for s in ("left", "right") for i in range(3)], "k string, side string, position bigint, kind string, speaker string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(group):
+        seen.add(1)
+        return group.head(1)[["k"]].assign(left=0, right=0, status="matched")
+
+    pairs = rows.groupBy("k").applyInPandas(run, "k string, left bigint, right bigint, status string")
+    got = {(r.left, r.right): r.outcome for r in align.preview(rows, pairs, "k").collect()}
+    assert got == {(0, 0): "matched", (1, None): "missing", (2, None): "missing", (None, 1): "unmatched", (None, 2): "unmatched"}
+    assert seen.value == 1
